@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import leakage, runs, tokens
+from tidemark.llm import garbled, leakage, runs, tokens
 from tidemark.sources.tables import table
 
 
@@ -20,6 +20,18 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("path_key", "op", "old_key", "min_seq", "max_seq", "n", "duration_us")
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "text_docs"), ["file_id", "generation"], "content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("file_id", "generation").distinct()
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -28,7 +40,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_collapsed, p7_ids, p8_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_collapsed, p4_found, p4_restored, p7_ids, p8_found)}
 
 
 def _clean(c: str) -> str:
