@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import garbled, leakage, runs, tokens
+from tidemark.llm import garbled, leakage, runs, subjects, tokens
 from tidemark.sources.tables import table
 
 
@@ -40,7 +41,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_collapsed, p4_found, p4_restored, p7_ids, p8_found)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents"), table(spark, d, "subject_samples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("docs"), F.avg("share").alias("mean_share"))
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p3_collapsed, p4_found, p4_restored, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 def _clean(c: str) -> str:
