@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import garbled, leakage, runs, subjects, tokens
+from tidemark.llm import garbled, leakage, neighbours, runs, subjects, tokens
 from tidemark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vectors"), table(spark, d, "embed_model_contracts")).select("key_a", "key_b")
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "vectors"), table(spark, d, "embed_model_contracts"))
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    graph, reps, _ = neighbours.build_graph(table(spark, d, "vectors"), table(spark, d, "embed_model_contracts"))
+    queries = reps.where("shiftright(key, 16) % 100 = 0").select("m", F.col("key").alias("query"), "vec")
+    return neighbours.search(graph, reps, queries)
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(runs.canonical_changes(table(spark, d, "raw_changes")))
 
@@ -53,7 +67,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("docs"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_collapsed, p4_found, p4_restored, p7_ids, p8_found, p9_found, p9_composition)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_neighbours, p1_search, p3_found, p3_collapsed, p4_found, p4_restored, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 def _clean(c: str) -> str:
