@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,20 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Columnar and compressed, so cheaper than a checkpoint for wide rows that later stages prune.
     """
-    path = os.path.join(shared_dir(df.sparkSession), "tidemark", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), "tidemark", f"{name}-{uuid.uuid4().hex}")
+    # nothing reads the shuffles again once the table stands
+    with set_for(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def set_for(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A runtime setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
