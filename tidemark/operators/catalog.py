@@ -53,8 +53,8 @@ def upsert(files: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     return j.where(~fresh).unionByName(added).select("file_id", "path_key", "r.generation", *[f"r.{c}" for c in fields], "outcome")
 
 
-def _numbered(rows: DataFrame, order: str, after: int) -> DataFrame:
-    """file_id: contiguous numbers in the order of a column, by offsets of range partitions instead of one task."""
+def _numbered(rows: DataFrame, order: str, after: int, name: str = "file_id") -> DataFrame:
+    """``name``: contiguous numbers in the order of a column, by offsets of range partitions instead of one task."""
     parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     from tidemark.session import staged
 
@@ -65,9 +65,9 @@ def _numbered(rows: DataFrame, order: str, after: int) -> DataFrame:
         start[p] = at
         at += n
     if not start:
-        return parts.select(F.lit(None).cast("long").alias("file_id"), *rows.columns)
+        return parts.select(F.lit(None).cast("long").alias(name), *rows.columns)
     offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
-    return parts.select((offset[F.col("_p")] + F.col("_i") + 1).alias("file_id"), *rows.columns)
+    return parts.select((offset[F.col("_p")] + F.col("_i") + 1).alias(name), *rows.columns)
 
 
 def relocate(files: DataFrame, moves: DataFrame) -> DataFrame:

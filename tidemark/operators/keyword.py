@@ -49,7 +49,8 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     terms = list(dict.fromkeys(query))
     extra = [keep.alias("_keep")] if keep is not None else []
     t = docs.select("file_id", *extra, *[words(F.col(f)).alias(f) for f in boosts])
-    tf = {(f, i): F.size(F.filter(f, lambda x, w=w: x == w)) for f in boosts for i, w in enumerate(terms)}
+    count = lambda f, w: F.size(F.filter(f, lambda x: x == w))
+    tf = {(f, i): count(f, w) for f in boosts for i, w in enumerate(terms)}
     t = t.select("file_id", *(["_keep"] if extra else []), *[F.size(f).alias(f"len_{f}") for f in boosts], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
     stats = t.agg(F.count("*").alias("_n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf])
     j = t.crossJoin(F.broadcast(stats))  # one row

@@ -95,7 +95,7 @@ def changes(old: DataFrame, new: DataFrame, after: int = 0) -> DataFrame:
     j = o.join(n, KEY, "full_outer").where(~F.col("o").eqNullSafe(F.col("n")))
     ops = F.array_compact(F.array(F.when(F.col("o").isNotNull(), "delete"), F.when(F.col("n").isNotNull(), "upsert")))
     log = j.select(*KEY, F.posexplode(ops).alias("_p", "op")).withColumn("_o", F.struct(*KEY, "_p"))
-    return _numbered(log, "_o", after).select(F.col("file_id").alias("revision"), F.col("_o.file_id").alias("file_id"), F.col("_o.frame_idx").alias("frame_idx"), "op")
+    return _numbered(log, "_o", after, "revision").select("revision", *KEY, "op")
 
 
 def replay(log: DataFrame) -> DataFrame:

@@ -70,8 +70,10 @@ def duck(sql: str) -> str:
                     need.append(name)
 
     visit(sql)
-    body = re.sub(r"\{(\w+)\}", r"\1", sql)
-    ctes = [f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', SHARED.get(n) or _DUCK[n])})" for n in need]
+    names = "|".join([*SHARED, *_DUCK, "orders", "events", "documents"])
+    bare = lambda text: re.sub(rf"\{{({names})\}}", r"\1", text)
+    body = bare(sql)
+    ctes = [f"{n} AS ({bare(SHARED.get(n) or _DUCK[n])})" for n in need]
     if not ctes:
         return body
     if body.lstrip().upper().startswith("WITH RECURSIVE "):
