@@ -86,7 +86,7 @@ def relocate(files: DataFrame, moves: DataFrame) -> DataFrame:
 def mark_deleted(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Soft delete under the fence: status deleted, indexed_at null, same generation; other rows as they are."""
     hit = wanted.select("file_id", F.col("generation").alias("_g")).distinct()
-    j = files.join(hit, (files["file_id"] == hit["file_id"]) & (files["generation"] == hit["_g"]), "left").drop(hit["file_id"])
+    j = files.join(hit.select(F.col("file_id").alias("_f"), "_g"), (F.col("file_id") == F.col("_f")) & (F.col("generation") == F.col("_g")), "left").drop("_f")
     gone = F.col("_g").isNotNull()
     return j.withColumns({"status": F.when(gone, "deleted").otherwise(F.col("status")), "indexed_at": F.when(~gone, F.col("indexed_at"))}).drop("_g")
 

@@ -36,7 +36,7 @@ def scope_conflicts(tasks: DataFrame, scopes: DataFrame) -> DataFrame:
     """
     t = tasks.select("task_id", "path", "is_dir")
     s = scopes.select("scope", F.col("is_dir").alias("scope_dir")).distinct()
-    same = t.join(s, t["path"] == s["scope"]).select("task_id", "scope")
+    same = t.join(s, F.col("path") == F.col("scope")).select("task_id", "scope")
     inside = t.select("task_id", F.explode(ancestors(F.col("path"))).alias("_a")).join(s.where("scope_dir"), F.col("_a") == F.col("scope")).select("task_id", "scope")
     around = s.select("scope", F.explode(ancestors(F.col("scope"))).alias("_a")).join(t.where("is_dir"), F.col("_a") == F.col("path")).select("task_id", "scope")
     return same.unionByName(inside).unionByName(around).distinct()

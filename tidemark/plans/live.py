@@ -175,4 +175,4 @@ add("query_words", lambda v: v("docs").select("file_id", F.array_join(words(F.co
 add("breaker_history", lambda v: breaker.history(v("outcomes_v").select("dependency", "seq", (F.col("seq") * 700).alias("at_ms"), "ok"), threshold=3).groupBy("dependency", "verdict", "state").agg(F.count("*").alias("n")))
 add("utf8_truncate", lambda v: content.truncated(v("docs"), "file_id", "content", 100).select("file_id", "text", "truncated"))
 add("sample_hash", lambda v: v("docs").where("content IS NOT NULL").select("file_id", content.sample_hash(F.col("content").cast("binary")).alias("hash")), "SELECT file_id, md5(content || '|' || strlen(content)) AS hash FROM {docs} WHERE content IS NOT NULL")
-add("sniff", lambda v: v("docs").select("file_id", F.octet_length(content.sniff(F.col("content").cast("binary"))).alias("head_bytes")), "SELECT file_id, least(strlen(content), 8192)::INT AS head_bytes FROM {docs}")
+add("sniff", lambda v: v("docs").select("file_id", F.octet_length(content.sniff(F.col("content").cast("binary"))).alias("head_bytes")), "SELECT file_id, CASE WHEN content IS NOT NULL THEN least(strlen(content), 8192)::INT END AS head_bytes FROM {docs}")

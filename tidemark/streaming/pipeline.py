@@ -26,7 +26,7 @@ def commit_batch(house: Warehouse, batch: DataFrame, epoch: int, docs: DataFrame
         touched = batch.select("file_id").distinct()
         live = last.where("kind = 'upsert'").join(touched, "file_id", "left_semi").select("file_id")
         fresh = keyword.postings(docs.join(live, "file_id", "left_semi"))
-        tables["postings"] = house.read("postings").join(touched, "file_id", "left_anti").unionByName(fresh) if house.has("postings") else fresh
+        tables["postings"] = house.read("postings").join(touched, "file_id", "left_anti").select(*fresh.columns).unionByName(fresh) if house.has("postings") else fresh
     house.commit(tables, {"epoch": epoch})
     return True
 
