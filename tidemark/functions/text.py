@@ -15,13 +15,21 @@ TEXT_NAMES = ["dockerfile", "makefile", "rakefile", "gemfile", "procfile"]
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of letters and digits; runs of CJK characters as bigrams, after all others. Null gives none."""
+    """Lower-cased words of letters and digits; runs of CJK characters as bigrams, after all others. Null gives none.
+
+    Text without CJK characters takes one pass of one regular expression.
+    """
+    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
     low = F.lower(text)
-    plain = F.regexp_extract_all(F.regexp_replace(low, _CJK, " "), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    split = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     runs = F.regexp_extract_all(low, F.lit(f"({_CJK}+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2))))))
-    both = F.when(low.rlike(_CJK), F.concat(plain, pairs)).otherwise(plain)
-    return F.coalesce(both, F.expr("CAST(array() AS ARRAY<STRING>)"))
+    return F.when(text.isNull(), empty).when(text.rlike(_CJK), F.concat(split(F.regexp_replace(low, _CJK, " ")), pairs)).otherwise(split(low))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def snippet(content: Column, status: Column, size: int = 240) -> Column:

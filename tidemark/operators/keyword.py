@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import words
+from tidemark.functions.text import bound, words
 
 #: Weight of each field (fixed values).
 BOOSTS = {"filename": 2.0, "path": 1.0, "content": 1.0}
@@ -49,9 +49,11 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     terms = list(dict.fromkeys(query))
     extra = [keep.alias("_keep")] if keep is not None else []
     t = docs.select("file_id", *extra, *[words(F.col(f)).alias(f) for f in boosts])
-    count = lambda f, w: F.size(F.filter(f, lambda x: x == w))
-    tf = {(f, i): count(f, w) for f in boosts for i, w in enumerate(terms)}
-    t = t.select("file_id", *(["_keep"] if extra else []), *[F.size(f).alias(f"len_{f}") for f in boosts], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
+    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    facts = lambda a: F.struct(F.size(a).alias("len"), F.array(*[count(a, w) for w in terms], F.lit(0)).alias("tf"))
+    t = docs.select("file_id", *extra, *[bound(words(F.col(f)), facts).alias(f) for f in boosts])
+    tf = {(f, i): F.col(f"{f}.tf")[i] for f in boosts for i in range(len(terms))}
+    t = t.select("file_id", *(["_keep"] if extra else []), *[F.col(f"{f}.len").alias(f"len_{f}") for f in boosts], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
     stats = t.agg(F.count("*").alias("_n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf])
     j = t.crossJoin(F.broadcast(stats))  # one row
     score, any_hit = F.lit(0.0), F.lit(False)

@@ -66,6 +66,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where it has fewer: a small file that can't be split would keep one core busy.
+
+    Larger inputs come back as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def set_for(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A runtime setting for the length of a block."""
