@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Words a fingerprint covers and fingerprints a window covers: any shared run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 3, 2
 #: Evaluation items held in memory at once; more are matched in further passes.
@@ -188,7 +190,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     """
     count = items.count()
     blocks = max(1, -(-count // BLOCK_ITEMS))
-    source = docs.select(F.col(doc_key).alias("_d"), F.col(text).alias("_t"))
+    source = spread(docs.select(F.col(doc_key).alias("_d"), F.col(text).alias("_t")))
     kind = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, words int, share double"
     found = None
     for block in range(blocks):

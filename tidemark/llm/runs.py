@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import clean_path
+from tidemark.session import spread
 
 
 def canonical_changes(changes: DataFrame) -> DataFrame:
     """(path_key, op, old_key, at_us, seq): op without outer blanks and case, both paths cleaned; no events without at_ts, path or seq."""
     op = F.lower(F.regexp_replace("op", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return changes.where("at_ts IS NOT NULL AND path IS NOT NULL AND seq IS NOT NULL").select(clean_path("path").alias("path_key"), op.alias("op"), clean_path("old_path").alias("old_key"), F.unix_micros(F.col("at_ts").cast("timestamp")).alias("at_us"), "seq")
+    return spread(changes.select("op", "path", "old_path", "at_ts", "seq")).where("at_ts IS NOT NULL AND path IS NOT NULL AND seq IS NOT NULL").select(clean_path("path").alias("path_key"), op.alias("op"), clean_path("old_path").alias("old_key"), F.unix_micros(F.col("at_ts").cast("timestamp")).alias("at_us"), "seq")
 
 
 def collapse_runs(events: DataFrame, entity: str = "path_key", value: list[str] | None = None, at: str = "at_us", seq: str = "seq", gap_us: int = 2_000_000, slice_us: int = 600_000_000) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged
+from tidemark.session import spread, staged
 
 #: Terms are hashed into this many buckets, so that the model has one size whatever the vocabulary.
 BUCKETS = 1 << 15
@@ -78,7 +78,7 @@ def _staged_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ids.append([i for x in e for i in x]), lens.append([len(x) for x in e])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(lens, pa.list_(pa.int32()))], [key, "ids", "lens"])
 
-    source = docs.select(key, text)
+    source = spread(docs.select(key, text))
     return staged(source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, ids array<int>, lens array<int>"), "terms")
 
 

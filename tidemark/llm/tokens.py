@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.session import spread
+
 #: Pattern that splits text before the merges (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the rank file lies, unless another is named.
@@ -79,7 +81,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
             flat = np.fromiter((i for x in lists for i in x), "i4", int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
-    source = docs.select(key, text)
+    source = spread(docs.select(key, text))
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, ids array<int>")
 
 
