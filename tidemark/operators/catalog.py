@@ -113,3 +113,45 @@ def problems() -> Column:
 def key_collisions(files: DataFrame, path_key: Column) -> DataFrame:
     """(path_key, n): keys that several file ids would share; a back-fill is refused while there are any."""
     return files.select(path_key.alias("path_key"), "file_id").distinct().groupBy("path_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def lookup(files: DataFrame, file_id: int | None = None, path_key: str | None = None) -> DataFrame:
+    """The row of an id or of a path key; empty when there is none."""
+    if (file_id is None) == (path_key is None):
+        raise ValueError("either an id or a path key")
+    return files.where(F.col("file_id") == file_id if file_id is not None else F.col("path_key") == path_key)
+
+
+def resolve(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """(task_id, found_id): a task's row by its file_id if it has one, else by the old path of a move, else by its path; null if missing."""
+    by_id = files.select(F.col("file_id").alias("_i"))
+    by_path = files.select(F.col("path_key").alias("_p"), F.col("file_id").alias("_pi"))
+    where = F.when(F.col("op") == "relocate", F.coalesce("old_path_key", "path_key")).otherwise(F.col("path_key"))
+    j = tasks.select("task_id", "file_id", where.alias("_w")).join(by_id, F.col("file_id") == F.col("_i"), "left").join(by_path, F.col("_w") == F.col("_p"), "left")
+    return j.select("task_id", F.when(F.col("file_id").isNotNull(), F.col("_i")).otherwise(F.col("_pi")).alias("found_id"))
+
+
+def prepare(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """(task_id, file_id, outcome) of tasks in flight (task_id, file_id, path_key, generation) about to be bound to a row.
+
+    An anchored task needs its row, at its generation, and a path that no other row owns; one without an anchor takes the row of its path, if its
+    generation is not below the stored one, or a new row.
+    """
+    row = files.select(F.col("file_id").alias("_i"), F.col("generation").alias("_g"))
+    owner = files.select(F.col("path_key").alias("_p"), F.col("file_id").alias("_o"), F.col("generation").alias("_og"))
+    j = tasks.join(row, F.col("file_id") == F.col("_i"), "left").join(owner, F.col("path_key") == F.col("_p"), "left")
+    anchored = F.col("file_id").isNotNull()
+    outcome = (
+        F.when(anchored & F.col("_i").isNull(), "not_found")
+        .when(anchored & (F.col("_g") != F.col("generation")), "stale")
+        .when(anchored & F.col("_o").isNotNull() & (F.col("_o") != F.col("file_id")), "path_ownership")
+        .when(~anchored & (F.col("_og") > F.col("generation")), "stale")
+        .when(~anchored & F.col("_o").isNull(), "new")
+        .otherwise("bound")
+    )
+    return j.select("task_id", F.coalesce("file_id", "_o").alias("file_id"), outcome.alias("outcome"))
+
+
+def in_order(ids: DataFrame, position: str = "pos", key: str = "file_id") -> DataFrame:
+    """Each id once, with its first position."""
+    return ids.groupBy(key).agg(F.min(position).alias(position))

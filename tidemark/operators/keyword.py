@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     """(file_id, score): boosted BM25 of the documents that hold any query word; terms are ORed.
 
     Statistics are those of all documents; ``keep`` filters what may be a hit. Two passes, without a shuffle of documents: one
-    aggregation to a single row of statistics, then each document scores itself.
+    aggregation to a single row of statistics, read by the driver, then each document scores itself.
     """
     boosts = BOOSTS if boosts is None else boosts
     terms = list(dict.fromkeys(query))
@@ -55,17 +55,20 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     tf = {(f, i): F.col(f"{f}.tf")[i] for f in boosts for i in range(len(terms))}
     t = t.select("file_id", *(["_keep"] if extra else []), *[F.col(f"{f}.len").alias(f"len_{f}") for f in boosts], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
     stats = t.agg(F.count("*").alias("_n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf])
-    j = t.crossJoin(F.broadcast(stats))  # one row
+    one = stats.first()
+    fact = lambda name: F.lit(one[name])
+    if not one["_n"]:
+        return docs.limit(0).select("file_id", F.lit(0.0).alias("score"))
     score, any_hit = F.lit(0.0), F.lit(False)
     for f, boost in boosts.items():
         for i in range(len(terms)):
-            n, df = F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-            part = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"len_{f}") / F.greatest(F.col(f"avg_{f}"), F.lit(1e-9))))
+            n, df = F.col(f"tf_{f}_{i}"), fact(f"df_{f}_{i}")
+            idf = F.log(1 + (fact("_n") - df + 0.5) / (df + 0.5))
+            part = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"len_{f}") / F.lit(max(one[f"avg_{f}"], 1e-9))))
             score = score + F.when(n > 0, F.lit(boost) * part).otherwise(0.0)
             any_hit = any_hit | (n > 0)
     hit = any_hit & F.coalesce("_keep", F.lit(False)) if extra else any_hit
-    return j.where(hit).select("file_id", score.alias("score"))
+    return t.where(hit).select("file_id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -62,8 +62,7 @@ def model_upgrade_batch(files: DataFrame, model: str, limit: int = 256, after: i
         raise ValueError("limit is 1 to 10000")
     other = (F.col("status") == "indexed") & (F.col("kind") == "image") & ~F.col("embed_model_version").eqNullSafe(F.lit(model)) & (F.col("file_id") > after)
     cut = files.where(other).orderBy("file_id").limit(limit + 1)
-    more = cut.agg((F.count("*") > limit).alias("has_more"))
-    return cut.orderBy("file_id").limit(limit).select("file_id", "path_key", (F.col("generation") + 1).alias("generation")).crossJoin(F.broadcast(more))
+    return cut.orderBy("file_id").limit(limit).select("file_id", "path_key", (F.col("generation") + 1).alias("generation"), F.lit(cut.count() > limit).alias("has_more"))
 
 
 def media_backfill(files: DataFrame, head_hex: str = "head_hex") -> DataFrame:

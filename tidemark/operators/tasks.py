@@ -179,3 +179,47 @@ def dead_letter_versions(stage: Column, extractor: Column, model: Column) -> tup
     """(extractor_version, embed_model_version) that a dead letter of a stage records; empty ones are null."""
     both = stage.isin("worker", "unknown")
     return F.when(((stage == "extract") | both) & (extractor != ""), extractor), F.when((stage.isin("embed", "vector") | both) & (model != ""), model)
+
+
+def finish(tasks: DataFrame, done: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tasks, dead letters) after tasks in flight are done: an older done task of the path goes, and so do dead letters of smaller generations."""
+    hit = tasks.where("state = 'in_flight'").join(done.select("task_id"), "task_id", "left_semi")
+    rest = tasks.join(hit.select("task_id"), "task_id", "left_anti")
+    rest = rest.join(hit.select(F.col("path")).distinct().withColumn("state", F.lit("done")), ["path", "state"], "left_anti").select(*tasks.columns)
+    newest = hit.groupBy("file_id").agg(F.max("generation").alias("_g"))
+    kept = dead.join(newest, "file_id", "left").where(F.col("_g").isNull() | (F.col("generation") >= F.col("_g"))).select(*dead.columns)
+    return rest.unionByName(hit.withColumn("state", F.lit("done")).select(*tasks.columns)), kept
+
+
+def bury(tasks: DataFrame, failures: DataFrame, files: DataFrame, dead: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """The four tables a dead task changes, to be committed together: tasks, files, dead_letters and audit.
+
+    failures: task_id, stage, error_class. The task is dead; its file, at the same generation, failed; the dead letter replaces one of a generation not
+    above; audit tells of it. Failures of tasks not in flight change nothing.
+    """
+    hit = tasks.where("state = 'in_flight'").join(failures.groupBy("task_id").agg(F.max("stage").alias("stage"), F.max("error_class").alias("error_class")), "task_id")
+    t = tasks.join(hit.select("task_id", F.lit(True).alias("_d")), "task_id", "left").withColumn("state", F.when(F.col("_d"), "dead").otherwise(F.col("state"))).select(*tasks.columns)
+    letters = hit.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("generation", "path", "stage", "error_class")).alias("n"))
+    failed = letters.select(F.col("file_id"), F.col("n.generation").alias("_g"))
+    f = files.join(failed, "file_id", "left").withColumn("status", F.when(F.col("_g") == F.col("generation"), "failed").otherwise(F.col("status"))).select(*files.columns)
+    old = dead.select("file_id", F.struct("generation", "path", "stage", "error_class", "updated_at").alias("o"))
+    j = old.join(letters, "file_id", "full_outer")
+    wins = F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n.generation") >= F.col("o.generation")))
+    pick = lambda c: F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    d = j.select("file_id", pick("generation"), pick("path"), pick("stage"), pick("error_class"), F.when(wins, F.lit(now_ms).cast("long")).otherwise(F.col("o.updated_at")).alias("updated_at"))
+    audit = hit.select(F.lit("dead_letter").alias("action"), "task_id", "file_id", "generation", F.col("path").alias("target"))
+    return {"tasks": t, "files": f, "dead_letters": d, "audit": audit}
+
+
+def probe(tasks: DataFrame) -> DataFrame:
+    """The one parked task that is let through when a dependency's breaker half opens: the most urgent, then the oldest."""
+    return tasks.where("state = 'waiting_dep'").orderBy("priority", "task_id").limit(1)
+
+
+def due_roots(roots: DataFrame, now_ms: int, period_ms: int = 86_400_000) -> DataFrame:
+    """(root, trigger): roots to reconcile now, with their most urgent trigger.
+
+    roots: root, started (whether it was scanned since the start), dirty, last_ms, retry_at (null or when a failed scan may be repeated).
+    """
+    trigger = F.when(~F.col("started"), "startup").when(F.col("dirty"), "dirty").when(F.col("last_ms") + period_ms <= now_ms, "periodic")
+    return roots.where(F.col("retry_at").isNull() | (F.col("retry_at") <= now_ms)).select("root", trigger.alias("trigger")).where("trigger IS NOT NULL")

@@ -109,10 +109,9 @@ def replay_health(log: DataFrame, after: int, live: DataFrame) -> DataFrame:
 
     A gap in the revisions, or more than a fifth of tombstones, calls for a rebuild.
     """
-    a = log.where(F.col("revision") > after).agg(F.min("revision").alias("first"), F.max("revision").alias("last"), F.count("*").alias("n"))
-    dead = replay(log).agg(F.count_if(F.col("op") == "delete").alias("tombstones"))
-    alive = live.agg(F.count("*").alias("alive"))
-    j = a.crossJoin(dead).crossJoin(alive)  # one row each
+    seen = log.where(F.col("revision") > after).agg(F.min("revision").alias("first"), F.max("revision").alias("last"), F.count("*").alias("n"))
+    dead, alive = replay(log).where("op = 'delete'").count(), live.count()
+    j = seen.select("*", F.lit(dead).cast("long").alias("tombstones"), F.lit(alive).cast("long").alias("alive"))
     gap = F.coalesce((F.col("first") != after + 1) | (F.col("last") - F.col("first") + 1 != F.col("n")), F.lit(False))
     ratio = F.when(F.col("alive") + F.col("tombstones") > 0, F.col("tombstones") / (F.col("alive") + F.col("tombstones"))).otherwise(F.lit(0.0))
     return j.select("first", "last", "n", gap.alias("gap"), "tombstones", F.round(ratio, 6).alias("tombstone_ratio"), (gap | (ratio > 0.2)).alias("rebuild"))
@@ -147,3 +146,31 @@ def embed_batches(frames: DataFrame, size: int = 32, lanes: int = 64) -> DataFra
     w = Window.partitionBy("lane").orderBy("task_id")
     f = frames.select(lane, "task_id").withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
     return f.groupBy("lane", "batch").agg(F.min("task_id").alias("first_task"), F.max("task_id").alias("last_task"), F.count("*").alias("n"))
+
+
+def pack(tasks: DataFrame, size: int = 32, lanes: int = 64) -> DataFrame:
+    """(lane, batch, task_id, frames): tasks (task_id, frames) of any number of frames packed greedily, in order, per lane.
+
+    A task is never split; one larger than ``size`` goes alone. Greedy packing is an ordered fold, so each lane, a hash of the task,
+    is read in order by one task, streaming.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    rows = tasks.select(F.pmod(F.xxhash64("task_id"), F.lit(lanes)).cast("int").alias("lane"), "task_id", F.col("frames").cast("int").alias("frames")).repartition("lane").sortWithinPartitions("lane", "task_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, held = None, 0, 0
+        for b in batches:
+            out = []
+            for lane, frames in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if lane != now:
+                    now, batch, held = lane, 0, 0
+                if held and held + frames > size:
+                    batch, held = batch + 1, 0
+                held += frames
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64()), b.column(1), b.column(2)], ["lane", "batch", "task_id", "frames"])
+
+    return rows.mapInArrow(run, "lane int, batch bigint, task_id bigint, frames int")

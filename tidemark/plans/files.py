@@ -169,3 +169,4 @@ add(
  UNION ALL SELECT path_key, max(generation) + 1, 'queued' FROM q WHERE a IN (SELECT root FROM roots) AND state IN ('pending', 'in_flight') AND path_key NOT IN (SELECT path_key FROM {{files_c}}) GROUP BY path_key
  UNION ALL SELECT path_key, max(generation), 'superseded' FROM q WHERE a IN (SELECT root FROM roots) AND state IN ('retry_wait', 'waiting_dep') GROUP BY path_key""",
 )
+add("ids_in_order", lambda v: catalog.in_order(v("run_log").select("file_id", F.col("run_id").alias("pos"))), "SELECT file_id, min(run_id) AS pos FROM run_log GROUP BY file_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import extension
 from tidemark.functions.text import image_format, looks_binary, snippet
-from tidemark.operators import keyword, metrics, notes, reliability, tasks
+from tidemark.operators import catalog, keyword, metrics, notes, reliability, tasks, vectors
 from tidemark.plans.book import Book
 from tidemark.plans.views import NOW_MS
 
@@ -121,6 +121,45 @@ add(
     "SELECT d.file_id, CASE WHEN d.stage IN ('extract', 'worker', 'unknown') AND f.extractor_version <> '' THEN f.extractor_version END AS extractor_version, CASE WHEN d.stage IN ('embed', 'vector', 'worker', 'unknown') AND f.embed_model_version <> '' THEN f.embed_model_version END AS embed_model_version FROM {dead_v} d JOIN {files_c} f ON d.file_id = f.file_id",
 )
 
+def _bound(v):
+    f = v("files_c")
+    return f.select(F.col("file_id").alias("task_id"), F.when(F.col("file_id") % 3 != 0, F.col("file_id") + F.when(F.col("file_id") % 37 == 0, 50_000_000).otherwise(0)).alias("file_id"), F.when(F.col("file_id") % 5 == 0, F.concat("path_key", F.lit(".new"))).otherwise(F.col("path_key")).alias("path_key"), (F.col("generation") - F.when(F.col("file_id") % 7 == 0, 1).otherwise(0)).alias("generation"), F.when(F.col("file_id") % 4 == 0, "relocate").otherwise("upsert").alias("op"), F.when(F.col("file_id") % 8 == 0, F.col("path_key")).alias("old_path_key"))
+
+
+_BOUND = """b AS (SELECT file_id AS task_id, CASE WHEN file_id % 3 <> 0 THEN file_id + CASE WHEN file_id % 37 = 0 THEN 50000000 ELSE 0 END END AS file_id, CASE WHEN file_id % 5 = 0 THEN path_key || '.new' ELSE path_key END AS path_key,
+ generation - CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END AS generation, CASE WHEN file_id % 4 = 0 THEN 'relocate' ELSE 'upsert' END AS op, CASE WHEN file_id % 8 = 0 THEN path_key END AS old_path_key FROM {files_c})"""
+add(
+    "task_prepare",
+    lambda v: catalog.prepare(_bound(v), v("files_c")).select("task_id", "outcome"),
+    f"""WITH {_BOUND} SELECT task_id, CASE WHEN b.file_id IS NOT NULL AND f.file_id IS NULL THEN 'not_found' WHEN b.file_id IS NOT NULL AND f.generation <> b.generation THEN 'stale' WHEN b.file_id IS NOT NULL AND o.file_id <> b.file_id THEN 'path_ownership'
+ WHEN b.file_id IS NULL AND o.generation > b.generation THEN 'stale' WHEN b.file_id IS NULL AND o.file_id IS NULL THEN 'new' ELSE 'bound' END AS outcome FROM b LEFT JOIN {{files_c}} f ON b.file_id = f.file_id LEFT JOIN {{files_c}} o ON b.path_key = o.path_key""",
+)
+add(
+    "task_resolve",
+    lambda v: catalog.resolve(_bound(v), v("files_c")),
+    f"WITH {_BOUND} SELECT task_id, CASE WHEN b.file_id IS NOT NULL THEN f.file_id ELSE o.file_id END AS found_id FROM b LEFT JOIN {{files_c}} f ON b.file_id = f.file_id LEFT JOIN {{files_c}} o ON o.path_key = CASE WHEN b.op = 'relocate' THEN coalesce(b.old_path_key, b.path_key) ELSE b.path_key END",
+)
+
+
+def _finish(v, which):
+    return tasks.finish(v("tasks_v"), v("tasks_v").where("task_id % 3 = 0").select("task_id"), v("dead_v"))[which]
+
+
+add("tasks_finished", lambda v: _finish(v, 0).select("task_id", "state"), "WITH h AS (SELECT * FROM {tasks_v} WHERE state = 'in_flight' AND task_id % 3 = 0) SELECT task_id, CASE WHEN task_id IN (SELECT task_id FROM h) THEN 'done' ELSE state END AS state FROM {tasks_v} WHERE NOT (state = 'done' AND path IN (SELECT path FROM h))")
+add("dead_letters_after_done", lambda v: _finish(v, 1).select("file_id", "generation"), "WITH h AS (SELECT file_id, max(generation) AS g FROM {tasks_v} WHERE state = 'in_flight' AND task_id % 3 = 0 GROUP BY file_id) SELECT d.file_id, d.generation FROM {dead_v} d LEFT JOIN h ON d.file_id = h.file_id WHERE h.g IS NULL OR d.generation >= h.g")
+
+
+def _buried(v):
+    return tasks.bury(v("tasks_v"), v("tasks_v").where("task_id % 5 = 0").select("task_id", F.lit("extract").alias("stage"), F.lit("permanent").alias("error_class")), v("files_c"), v("dead_v"), NOW_MS)
+
+
+_BURY = "h AS (SELECT * FROM {tasks_v} WHERE state = 'in_flight' AND task_id % 5 = 0), n AS (SELECT file_id, max(generation) AS g FROM h GROUP BY file_id)"
+add("dead_transition", lambda v: _buried(v)["tasks"].where("state = 'dead'").select("task_id", "state"), f"WITH {_BURY} SELECT task_id, 'dead' AS state FROM h")
+add("dead_files_failed", lambda v: _buried(v)["files"].select("file_id", "status"), f"WITH {_BURY} SELECT f.file_id, CASE WHEN n.g = f.generation THEN 'failed' ELSE f.status END AS status FROM {{files_c}} f LEFT JOIN n ON f.file_id = n.file_id")
+add("dead_letters_upserted", lambda v: _buried(v)["dead_letters"].select("file_id", "generation", "stage", "updated_at"), f"WITH {_BURY} SELECT coalesce(d.file_id, n.file_id) AS file_id, CASE WHEN n.g >= d.generation OR d.file_id IS NULL THEN n.g ELSE d.generation END AS generation, CASE WHEN n.g >= d.generation OR d.file_id IS NULL THEN 'extract' ELSE d.stage END AS stage, CASE WHEN n.g >= d.generation OR d.file_id IS NULL THEN {NOW_MS} ELSE d.updated_at END AS updated_at FROM {{dead_v}} d FULL JOIN n ON d.file_id = n.file_id")
+add("dependency_probe", lambda v: tasks.probe(v("tasks_v")).select("task_id"), "SELECT task_id FROM {tasks_v} WHERE state = 'waiting_dep' ORDER BY priority, task_id LIMIT 1")
+add("embed_pack", lambda v: vectors.pack(v("tasks_v").select("task_id", (F.col("attempts") * 5 + 1).alias("frames"))).groupBy("lane", "batch").agg(F.count("*").alias("tasks"), F.sum("frames").alias("frames")))
+
 # dead letters
 add("deadletters_by_class", lambda v: v("dead_v").groupBy("error_class", "stage").agg(F.count("*").alias("n")), "SELECT error_class, stage, count(*) AS n FROM {dead_v} GROUP BY ALL")
 _RED = "SELECT d.file_id, d.path, coalesce(f.generation, d.generation) AS generation, 1 AS priority, CASE WHEN f.generation IS NULL THEN 'missing' WHEN f.generation > d.generation THEN 'superseded' ELSE 'enqueued' END AS outcome FROM (SELECT * REPLACE (generation - CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END AS generation) FROM {dead_v}) d LEFT JOIN {files_c} f ON d.file_id = f.file_id"
@@ -192,6 +231,11 @@ add(
     f"""WITH {_RS}, h AS (SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'active') AS active, count(*) FILTER (state = 'degraded') AS degraded, count(*) FILTER (state = 'stopped') AS stopped, count(*) FILTER (dirty) AS dirty FROM rs)
  SELECT *, CASE WHEN degraded > 0 THEN 'degraded' WHEN pending > 0 THEN 'warming' WHEN dirty > 0 THEN 'degraded_dirty' ELSE 'ready' END AS status FROM h""",
 )
+add(
+    "reconcile_triggers",
+    lambda v: tasks.due_roots(_root_states(v).select("root", (F.col("state") != "pending").alias("started"), "dirty", (F.col("epoch") * 50_000_000).cast("long").alias("last_ms"), F.when(F.col("dirty_generation") == 3, NOW_MS).alias("retry_at")), 100_000_000),
+    f"WITH {_RS} SELECT * FROM (SELECT root, CASE WHEN state = 'pending' THEN 'startup' WHEN dirty THEN 'dirty' WHEN epoch * 50000000 + 86400000 <= 100000000 THEN 'periodic' END AS trigger FROM rs WHERE dirty_generation <> 3) WHERE trigger IS NOT NULL",
+)
 add(
     "dirty_acknowledge",
     lambda v: metrics.acknowledge(_root_states(v), _root_states(v).select("root", F.col("epoch"), (F.col("dirty_generation") % 2).alias("dirty_generation"))),
