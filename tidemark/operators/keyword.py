@@ -48,7 +48,6 @@ def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] | None = No
     boosts = BOOSTS if boosts is None else boosts
     terms = list(dict.fromkeys(query))
     extra = [keep.alias("_keep")] if keep is not None else []
-    t = docs.select("file_id", *extra, *[words(F.col(f)).alias(f) for f in boosts])
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
     facts = lambda a: F.struct(F.size(a).alias("len"), F.array(*[count(a, w) for w in terms], F.lit(0)).alias("tf"))
     t = docs.select("file_id", *extra, *[bound(words(F.col(f)), facts).alias(f) for f in boosts])
