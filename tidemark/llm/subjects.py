@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,6 +138,16 @@ def _documents(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int = 2
         yield block()
 
 
+@contextmanager
+def _shared(terms: DataFrame, value) -> Iterator:
+    """A broadcast for the length of a pass; afterwards neither driver nor executors keep its files."""
+    b = terms.sparkSession.sparkContext.broadcast(value)
+    try:
+        yield b
+    finally:
+        b.destroy()
+
+
 @dataclass
 class Model:
     """Weights and directions of terms, centroids of subjects (one for each language) and of sentences about none."""
@@ -174,7 +185,6 @@ class Model:
 
 def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: int = BUCKETS, dims: int = DIMS) -> Model | None:
     """A model from labelled samples (subject, language, text) and all documents; None without samples or documents."""
-    sc = terms.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros((buckets + 1, 1))
@@ -194,16 +204,16 @@ def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: i
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((buckets, dims)))[0].astype("f4")
     y = None
     for _ in range(PASSES):
-        shared = sc.broadcast((q, idf))
+        with _shared(terms, (q, idf)) as shared:
 
-        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
-            q, idf = shared.value
-            out = np.zeros(q.shape, "f4")
-            for at, m in _documents(batches, idf):
-                out[at] += m.T @ (m @ q[at])
-            return out
+            def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
+                q, idf = shared.value
+                out = np.zeros(q.shape, "f4")
+                for at, m in _documents(batches, idf):
+                    out[at] += m.T @ (m @ q[at])
+                return out
 
-        y = _summed(terms, dims, buckets, multiply)
+            y = _summed(terms, dims, buckets, multiply)
         before, q = q, np.linalg.qr(y)[0].astype("f4")
     # rotation to singular vectors: before^T (A^T A) before is small and symmetric
     values, turn = np.linalg.eigh((before.T @ y + y.T @ before) / 2)
@@ -239,22 +249,22 @@ def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: i
 
     model.centroids, model.none = seeds(model)
     for k in range(ROUNDS):
-        shared = sc.broadcast(model)
-
-        def gather(batches: Iterator[pa.RecordBatch], shared=shared, near=0.35 if k == 0 else 0.6) -> np.ndarray:
-            m = shared.value
-            out = np.zeros((buckets, len(m.subjects) + 1), "f4")
-            for b in batches:
-                for i, n in _joined(b):
-                    _, best, top, _, none = m.classify(i, n)
-                    about = (top > near) & (top > none)
-                    cls = np.where(about, m.owner[best], len(m.subjects))
-                    use = about | (none > 0.6)
-                    at = np.repeat(use, n)
-                    np.add.at(out, (i[at], np.repeat(cls, n)[at]), 1)
-            return out
-
-        by_class = _summed(terms, len(subjects) + 1, buckets, gather)
+        with _shared(terms, model) as shared:
+
+            def gather(batches: Iterator[pa.RecordBatch], shared=shared, near=0.35 if k == 0 else 0.6) -> np.ndarray:
+                m = shared.value
+                out = np.zeros((buckets, len(m.subjects) + 1), "f4")
+                for b in batches:
+                    for i, n in _joined(b):
+                        _, best, top, _, none = m.classify(i, n)
+                        about = (top > near) & (top > none)
+                        cls = np.where(about, m.owner[best], len(m.subjects))
+                        use = about | (none > 0.6)
+                        at = np.repeat(use, n)
+                        np.add.at(out, (i[at], np.repeat(cls, n)[at]), 1)
+                return out
+
+            by_class = _summed(terms, len(subjects) + 1, buckets, gather)
         n = by_class.sum(axis=1)
         p = by_class / np.maximum(n, 1)[:, None]
         spread = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1) / np.log(len(subjects) + 1)
@@ -283,21 +293,22 @@ def _joined(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _recentred(terms: DataFrame, model: Model, seeded: np.ndarray) -> np.ndarray:
     """Centroids under the model's present weights, from all sentences near the seeds' ones."""
     start = Model(model.subjects, model.weight, model.basis, seeded, model.owner, model.none)
-    shared = terms.sparkSession.sparkContext.broadcast(start)
     dims = model.basis.shape[1]
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        m = shared.value
-        out = np.zeros((len(m.centroids), dims))
-        for b in batches:
-            for i, n in _joined(b):
-                u, best, top, _, none = m.classify(i, n)
-                about = (top > 0.35) & (top > none)
-                for j in np.unique(best[about]):
-                    out[j] += u[about & (best == j)].sum(axis=0)
-        return out
-
-    found = _summed(terms, dims, len(seeded), gather)
+    with _shared(terms, start) as shared:
+
+        def gather(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
+            m = shared.value
+            out = np.zeros((len(m.centroids), dims))
+            for b in batches:
+                for i, n in _joined(b):
+                    u, best, top, _, none = m.classify(i, n)
+                    about = (top > 0.35) & (top > none)
+                    for j in np.unique(best[about]):
+                        out[j] += u[about & (best == j)].sum(axis=0)
+            return out
+
+        found = _summed(terms, dims, len(seeded), gather)
     return _unit(_unit(found) + 0.2 * seeded).astype("f4")
 
 
