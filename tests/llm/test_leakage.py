@@ -40,6 +40,25 @@ def test_against_brute_force():
     assert agreed > 15
 
 
+def test_replaced_middle():
+    """A hit that leads nowhere doesn't hide a later stretch of the same alignment."""
+    item = WORDS[:24]
+    doc = item[:4] + ["zz"] * 8 + item[12:]
+    index = leakage.build_index([(1, " ".join(item))])
+    assert dict(leakage.matches(index, " ".join(doc))) == {0: brute(item, doc)}
+    rng = random.Random(5)
+    agreed = 0
+    for _ in range(60):
+        item = rng.sample(WORDS, rng.choice([16, 20, 24]))
+        a = rng.randrange(3, 6)
+        b = rng.randrange(a + 3, len(item) // 2 + 2)
+        doc = rng.sample(WORDS, 3) + item[:a] + ["zz"] * (b - a) + item[b:] + rng.sample(WORDS, 3)
+        want = brute(item, doc)
+        assert dict(leakage.matches(leakage.build_index([(1, " ".join(item))]), " ".join(doc))).get(0, 0) == want, (item, doc)
+        agreed += bool(want)
+    assert agreed > 15
+
+
 def test_writing_does_not_matter():
     assert leakage.words("“Çà—va”,\nNaïve soft­ware​ 12!") == ["ca", "va", "naive", "software", "12"]
     assert leakage.words(None) == leakage.words("") == leakage.words(" \n—") == []

@@ -161,16 +161,18 @@ def matches(index: Index, text: str | None) -> list[tuple[int, int]]:
     for spec, hashes, item, pos in zip(index.specs, index.hashes, index.item, index.pos, strict=True):
         at, h = fingerprints(doc, *spec)
         lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        seen: set[tuple[int, int]] = set()
+        run_end: dict[tuple[int, int], int] = {}  # by item and diagonal, where the run of equal words extended last ends
         for q in np.flatnonzero(hi > lo):
             for r in range(lo[q], hi[q]):
                 k, i, j = int(item[r]), int(pos[r]), int(at[q])
-                if (k, j - i) in seen:  # the same diagonal was extended before
+                if i < run_end.get((k, j - i), 0):  # from the same run of equal words the same stretches are reached
                     continue
-                seen.add((k, j - i))
                 words_of = index.items[k]
                 if words_of[i] != doc[j] or best.get(k) == len(words_of):
                     continue
+                right = doc[j : j + len(words_of) - i]
+                unequal = np.flatnonzero(words_of[i : i + len(right)] != right)
+                run_end[k, j - i] = i + (int(unequal[0]) if len(unequal) else len(right))
                 found = longest_stretch(words_of, doc[: j + 2 * len(words_of)], i, j, least_words(len(words_of)))
                 if found > best.get(k, 0):
                     best[k] = found
