@@ -46,6 +46,19 @@ def test_parts_are_found(model):
         assert garbled.judge(model, g) and garbled.restore(model, g)[0] == t
 
 
+def test_every_stretch_comes_back(model):
+    """Any number of stretches, and those beside one that is lost."""
+    chain = ("cp1251", "cp1252", 1)
+    t, between = "Съешь же ещё этих мягких французских булок, да выпей чаю.", "\n" + "plain words of no account " * 200 + "\n"
+    assert garbled.restore(model, between.join([garbled.garble(t, chain)] * 20)) == (between.join([t] * 20), ["cp1251 as cp1252"] * 20, True)
+    lost = "El ni?o perdi? el paraguas en la estaci?n. El se?or volver? ma?ana. " * 12
+    whole = "El niño perdió el paraguas en la estación."
+    text = lost + between + garbled.garble(whole, ("utf-8", "cp1252", 1))
+    assert garbled.judge(model, text).fixed is None
+    fixed, names, lossless = garbled.restore(model, text)
+    assert fixed == lost + between + whole and "utf-8 as cp1252" in names and not lossless
+
+
 def test_every_chain_inverts_strictly():
     for chain in garbled.CHAINS:
         if chain[1] == "utf-8" or chain[0] == chain[1]:

@@ -248,8 +248,8 @@ class Finding:
     fixed: str | None
 
 
-def judge(model: Model, text: str) -> Finding | None:
-    """The likeliest garbled stretch of a text that stands the check of its chain; None for sound text.
+def findings(model: Model, text: str) -> Iterator[Finding]:
+    """The garbled stretches of a text that stand the check of their chains, the likeliest first: one a chain at most.
 
     UTF-8 read as something else must come back as valid text whose bigrams are less strange. Of other
     chains the stretch set right must be strictly decodable and look far sounder as well. Of lost characters, their marks must be there.
@@ -261,40 +261,68 @@ def judge(model: Model, text: str) -> Finding | None:
         piece = text[a:b]
         if chain[0] == chain[1]:
             if score >= ALONE / 2 and _LOST.search(piece):
-                return Finding(chain, a, b, None)
+                yield Finding(chain, a, b, None)
         elif chain[1] == "utf-8":
             continue
         elif chain[0] == "utf-8":
             fixed = _back(piece, chain)
             if model.sounder(fixed, piece, 0.4):  # valid UTF-8 is evidence of its own
-                return Finding(chain, a, b, fixed)
+                yield Finding(chain, a, b, fixed)
         elif score >= ALONE:
             fixed = invert(piece, chain)
             if model.sounder(fixed, piece) and model.worst(fixed) < score / 2:
-                return Finding(chain, a, b, fixed)
-            if score >= 3 * ALONE and model.strange(piece) >= 4 * model.margin:
-                return Finding(chain, a, b, None)
-    return Finding(("cp1252", "utf-8", 1), lost, lost + 1, None) if lost >= 0 else None
+                yield Finding(chain, a, b, fixed)
+            elif score >= 3 * ALONE and model.strange(piece) >= 4 * model.margin:
+                yield Finding(chain, a, b, None)
+    if lost >= 0:
+        yield Finding(("cp1252", "utf-8", 1), lost, lost + 1, None)
+
+
+def judge(model: Model, text: str) -> Finding | None:
+    """The likeliest garbled stretch of a text; None for sound text."""
+    return next(findings(model, text), None)
 
 
-def restore(model: Model, text: str, most: int = 12) -> tuple[str, list[str], bool]:
+def restore(model: Model, text: str) -> tuple[str, list[str], bool]:
     """(text set right, chains found, whether nothing garbled is left).
 
-    Stretch after stretch is inverted, the likeliest first; where none can be inverted any more the text stays as it is.
+    Stretch after stretch is inverted, the likeliest first, until none is left that can be. Then a stretch that can't
+    be inverted stays as it is and parts the text; it and what lies before and behind it are each gone on with.
     """
     names: list[str] = []
-    for _ in range(most):
-        found = judge(model, text)
+    whole = True
+    done: list[str] = []
+    rest, seen = [text], set()  # the next part is the last; texts met, so that no two chains undo each other for ever
+    while rest:
+        part = rest.pop()
+        lost = fixable = None
+        for f in findings(model, part):
+            if f.fixed is None:
+                lost = lost or f
+                continue
+            true, wrong, times = f.chain
+            fixed = part[: f.start] + f.fixed + part[f.end :]
+            if true == "utf-8":
+                fixed = _back(fixed, f.chain)
+            if fixed not in seen:
+                fixable = f
+                break
+        found = fixable or lost
         if not found:
-            return text, names, True
+            done.append(part)
+            continue
         true, wrong, times = found.chain
         names.append(f"{true} as {wrong}" + " twice" * (times > 1))
-        if found.fixed is None:
-            return text, names, False
-        text = text[: found.start] + found.fixed + text[found.end :]
-        if true == "utf-8":
-            text = _back(text, found.chain)
-    return text, names, judge(model, text) is None
+        if fixable:
+            seen.add(fixed)
+            rest.append(fixed)
+            continue
+        whole = False
+        if lost.end - lost.start == len(part):
+            done.append(part)
+        else:
+            rest += [x for x in (part[lost.end :], part[lost.start : lost.end], part[: lost.start]) if x]
+    return "".join(done), names, whole
 
 
 def fit(docs: DataFrame, text: str, keys: list[str], rows: int = TRAIN_ROWS) -> Model:
