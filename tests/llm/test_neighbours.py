@@ -77,6 +77,29 @@ def test_nothing(spark, contracts):
     assert neighbours.similar_pairs(df, contracts.limit(0)).count() == 0
 
 
+def test_search_of_copies(spark, contracts, tmp_path):
+    """A row that isn't its class's smallest key has an answer too, and answers name the members of classes."""
+    from tidemark.llm import queries
+
+    rng = np.random.default_rng(3)
+    data = [(i + 1, 0, rng.standard_normal(4).astype("f4").tolist(), "b") for i in range(30)]
+    data += [(100, 0, data[4][2], "b"), (300, 0, data[4][2], "b"), (200, 0, data[7][2], "b"), (400, 0, rng.standard_normal(4).astype("f4").tolist(), "b")]
+    table(spark, data + data[:3]).write.parquet(f"{tmp_path}/vectors.parquet")
+    contracts.write.parquet(f"{tmp_path}/embed_model_contracts.parquet")
+    got: dict[int, list] = {}
+    for r in sorted(queries.p1_search(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append(r["nbr"] >> 16)
+    assert sorted(got) == [i << 16 for i in (100, 200, 300, 400)]
+    ids = np.array([f for f, _, _, _ in data])
+    x = np.array([v for _, _, v, _ in data], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q, nbrs in got.items():
+        s = x @ x[list(ids).index(q >> 16)]
+        s[ids == q >> 16] = -2
+        assert len(nbrs) == 10 and len(set(nbrs) & set(ids[np.argsort(-s, kind="stable")[:10]].tolist())) >= 9
+    assert got[100 << 16][:2] == [5, 300] and got[300 << 16][:2] == [5, 100] and got[200 << 16][0] == 8
+
+
 def test_search_recall(spark, data):
     """The queries of the search on the test table against brute force."""
     sf = data.replace("0.001", "0.01")

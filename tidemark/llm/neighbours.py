@@ -7,11 +7,11 @@ every node introduces its nearest neighbours and those it is a neighbour of to e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import spread, staged
@@ -294,12 +294,12 @@ def _members(reps: DataFrame, base: DataFrame, k: int) -> tuple[DataFrame, DataF
     return rows, staged(first, "members")
 
 
-def expand(graph: DataFrame, reps: DataFrame, base: DataFrame, k: int = K, least: float | None = None) -> DataFrame:
+def expand(graph: DataFrame, reps: DataFrame, base: DataFrame, k: int = K, least: float | None = None, members: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(key, nbr, cos, rank): the k nearest rows of every row, members of its own class first, ties by key; of those with cosine of at least ``least``.
 
     Of a class only the k + 1 smallest keys can be among anybody's nearest, so a class of any size adds k rows a member.
     """
-    rows, first = _members(reps, base, k)
+    rows, first = members or _members(reps, base, k)
     edges = graph.select(F.col("key").alias("rep"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("rep", F.col("e.nbrs").alias("to"), F.col("e.sims").cast("double").alias("cos"))
     if least is not None:
         edges = edges.where(F.col("cos") >= least)
@@ -382,3 +382,17 @@ def search(graph: DataFrame, reps: DataFrame, queries: DataFrame, k: int = K, be
         fresh = front.join(links, "key").select("query", "to")
     answer = state.where("query <> to")
     return answer.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "to"))).where(F.col("rank") <= k).select("query", F.col("to").alias("nbr"), F.col("cos").cast("double").alias("cos"), "rank")
+
+
+def search_rows(graph: DataFrame, reps: DataFrame, base: DataFrame, wanted: Callable[[str], Column], k: int = K) -> DataFrame:
+    """(query, nbr, cos, rank): the answer of ``search`` for every valid row whose key is ``wanted`` (a condition on the column named).
+
+    Classes are searched once; rows of one class share its answer, in which each class found stands with its members,
+    and have the members of their own class first, as in ``expand``.
+    """
+    rows, first = _members(reps, base, k)
+    rows = rows.where(wanted("member"))
+    asked = reps.where(wanted("key")).select("key").unionByName(rows.select(F.col("rep").alias("key"))).distinct()
+    found = search(graph, reps, reps.join(asked, "key").select("m", F.col("key").alias("query"), "vec"), k)
+    lists = found.select(F.col("query").alias("key"), F.array("nbr").alias("nbrs"), F.array("cos").alias("sims"))
+    return expand(lists, reps, base, k, members=(rows, first)).where(wanted("key")).select(F.col("key").alias("query"), "nbr", "cos", "rank")

@@ -18,9 +18,8 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    graph, reps, _ = neighbours.build_graph(table(spark, d, "vectors"), table(spark, d, "embed_model_contracts"))
-    queries = reps.where("shiftright(key, 16) % 100 = 0").select("m", F.col("key").alias("query"), "vec")
-    return neighbours.search(graph, reps, queries)
+    graph, reps, base = neighbours.build_graph(table(spark, d, "vectors"), table(spark, d, "embed_model_contracts"))
+    return neighbours.search_rows(graph, reps, base, lambda key: F.shiftright(key, 16) % 100 == 0)
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
