@@ -1,8 +1,9 @@
 """Most similar vectors for every vector: NN-descent over Spark joins, and greedy search of its graph.
 
-Vectors travel as unit vectors of 16-bit floats. Rows whose unit vectors agree to that precision form a class
-and are searched once. The graph starts from bounded cells around pivots and is then improved in rounds:
-every node introduces its nearest neighbours and those it is a neighbour of to each other.
+Rows whose unit vectors agree as 16-bit floats form a class and are searched once. Each class belongs to a few small blocks of
+nearby classes, one in each of PARTS partitions of the table, and starts with the nearest of its blocks, which is a poor list.
+Rounds of descent then better all lists: the hosts of a block gather their neighbours and those they are a neighbour of, and all
+that a block has gathered are introduced to each other. A gathered vector travels once a block, not once a host, as 8-bit integers.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ from pyspark.sql import functions as F
 
 from tidemark.session import spread, staged
 
-#: Neighbours kept for every vector.
-K = 10
-#: Vectors a pivot's cell has on average, cells a vector joins, pivots at most, vectors pivots are fitted on at most.
-CELL, CELLS, PIVOTS, SAMPLE = 2000, 2, 8192, 40_000
-#: Rounds of descent at most (it ends before when a round betters no list); neighbours each node introduces, and as many at most of those it is a neighbour of.
-ROUNDS, INTRODUCED = 2, 2
+#: Neighbours asked for of every vector, and neighbours its list holds during the descent.
+K, HELD = 10, 16
+#: Vectors a pivot's cell has on average, pivots of a model at most, vectors of all models that pivots are fitted on at most.
+CELL, PIVOTS, SAMPLE = 2000, 8192, 40_000
+#: Hosts of a block at most, partitions of the table into blocks, vectors a cell may have before it is dealt out by a hash.
+BLOCK, PARTS, CROWD = 128, 3, 16_000
+#: Neighbours a host brings to its block, and as many at most of those it is a neighbour of.
+INTRODUCED, NAMED = 10, 5
+#: Rounds of descent at most; it ends once a round renews a smaller share of the list entries.
+ROUNDS, SETTLED = 8, 0.03
 #: Cosines so close to a threshold are computed again from the vectors as they were given.
-DOUBT = 1e-3
-_LIST = "m int, key bigint, nbrs array<bigint>, sims array<float>"
+DOUBT = 1e-2
+_LIST = "m int, key bigint, b0 bigint, b1 bigint, b2 bigint, small binary, nbrs array<bigint>, sims array<float>"
 
 
 def _flat(b: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -86,31 +91,30 @@ def unit_vectors(vectors: DataFrame, contracts: DataFrame) -> DataFrame:
 def _pivots(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(pivots, planes) of each model.
 
-    Pivots come from spherical k-means on a bounded sample, so that dense regions get more of them. Where a model has more than PIVOTS
-    cells' worth of vectors, random planes through each pivot halve its cells until they are of the usual size again.
+    Pivots come from spherical k-means on a bounded sample, of which each model has an equal part or all its rows, so that dense
+    regions get more of them. Where cells would be larger than CELL, random planes through each pivot halve them.
     """
     counts = {r[0]: r[1] for r in reps.groupBy("m").count().collect()}
-    rows = max(sum(counts.values()), 1)
-    share = min(1.0, SAMPLE / rows)
-    drawn = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("m", "key", "vec").orderBy(F.xxhash64("key")).limit(2 * SAMPLE).toArrow()
+    if not counts:
+        return {}
+    part = max(1, SAMPLE // len(counts))
+    chance = F.element_at(F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, int(min(1.0, part / n) * (1 << 20)) + 1)]), F.col("m"))
+    drawn = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < chance).select("m", "key", "vec").orderBy(F.xxhash64("key")).limit(2 * SAMPLE).toArrow()
     m = drawn.column("m").to_numpy()
     out = {}
     for model, n in counts.items():
-        own = drawn.filter(pa.array(m == model))
-        x = _matrix(own.column("vec")) if len(own) else None
-        c = int(min(PIVOTS, n, max(2, n // CELL)))
-        if x is None or len(x) < c or c == 1:
-            dims = x.shape[1] if x is not None else len(reps.where(F.col("m") == model).select("vec").first()[0]) // 2
-            out[model] = np.eye(1, dims, dtype="f4"), np.zeros((dims, 0), "f4")
-            continue
+        x = _matrix(drawn.filter(pa.array(m == model)).column("vec"))
+        if not len(x):  # hardly any row of a small model: one cell at no place
+            x = _matrix(reps.where(F.col("m") == model).select("vec").limit(1).toArrow().column("vec"))
+        c = max(1, min(PIVOTS, n // CELL, len(x)))
         p = x[:c].copy()
-        for _ in range(3):
+        for _ in range(3 if c > 1 else 0):
             near = np.concatenate([(x[i : i + 4096] @ p.T).argmax(axis=1) for i in range(0, len(x), 4096)])
             order = np.argsort(near, kind="stable")
             seen, first = np.unique(near[order], return_index=True)
-            s = np.add.reduceat(x[order], first)
-            p[seen] = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-9)
-        halvings = max(0, int(np.ceil(np.log2(n / (PIVOTS * CELL)))))
+            total = np.add.reduceat(x[order], first)
+            p[seen] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+        halvings = max(0, int(np.ceil(np.log2(n / (2 * c * CELL)))))
         out[model] = p, np.random.default_rng(model).standard_normal((p.shape[1], halvings)).astype("f4")
     return out
 
@@ -122,8 +126,70 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix of bytes as a binary column."""
+    n, w = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * w, w, dtype="i4").tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Vectors as 8-bit integers, each by its own scale: what is left of their direction is true to about a thousandth of the cosine."""
+    return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))).astype("i1")
+
+
+def _directions(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of 8-bit integers as unit vectors."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    off = np.frombuffer(c.buffers()[1], "i4")[c.offset : c.offset + len(c) + 1]
+    x = np.frombuffer(c.buffers()[2], "i1", count=off[-1] - off[0], offset=int(off[0])).reshape(len(c), -1).astype("f4")
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _bisected(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A number of a block for each vector: halves along a random direction of large variance, until no block exceeds BLOCK."""
+    block, todo, made = np.zeros(len(x), "i8"), [np.arange(len(x))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            block[at] = made
+            made += 1
+            continue
+        y = x[at] - x[at].mean(axis=0)
+        d = rng.standard_normal(x.shape[1]).astype("f4")
+        for _ in range(2):
+            d = y.T @ (y @ d)
+            d /= max(np.linalg.norm(d), 1e-9)
+        order = np.argsort(y @ d, kind="stable")
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return block
+
+
+def _better(x: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, columns, cosines) of the at most k nearest others of each vector that beat its ``worst``."""
+    n = len(x)
+    lens, cols, sims = np.zeros(n, "i8"), [], []
+    for i in range(0, n, 1024):
+        s = x[i : i + 1024] @ x.T
+        r = np.arange(len(s))
+        s[r, r + i] = -2
+        ok = s > worst[i : i + 1024, None]
+        many = np.flatnonzero(ok.sum(axis=1) > k)
+        if len(many):
+            at = np.argpartition(s[many], n - k, axis=1)[:, -k:]
+            ok[many] = False
+            ok[many[:, None], at] = True
+        at, c = np.nonzero(ok)
+        lens[i : i + 1024] = np.bincount(at, minlength=len(s))
+        cols.append(c), sims.append(s[at, c])
+    return lens, np.concatenate(cols), np.concatenate(sims)
+
+
 def _first_lists(reps: DataFrame, k: int) -> DataFrame:
-    """The start of the graph: for each vector the nearest ones of the cells it lies in, one row a cell."""
+    """The start of the graph: one row for each vector and partition, with its block there and the nearest ones of that block.
+
+    A vector goes to the cells of its PARTS nearest pivots, and the blocks are cut out of cells. A cell of more than CROWD
+    vectors (near copies that no plane parts) is dealt out by a hash, so that no task gets more; the descent joins it up again.
+    """
     shared = reps.sparkSession.sparkContext.broadcast(_pivots(reps))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,32 +199,41 @@ def _first_lists(reps: DataFrame, k: int) -> DataFrame:
             for model in np.unique(m):
                 own = b.filter(pa.array(m == model))
                 x, (p, planes) = _matrix(own.column("vec")), pivots[int(model)]
-                near = np.concatenate([_top(x[i : i + 2048] @ p.T, CELLS) for i in range(0, len(x), 2048)]).astype("i8")
-                for c in range(near.shape[1]):
-                    side = ((x - p[near[:, c]]) @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype="i8"))
-                    yield pa.RecordBatch.from_arrays([own.column("m"), pa.array((near[:, c] << planes.shape[1]) + side), own.column("key"), own.column("vec")], ["m", "cell", "key", "vec"])
+                near = np.concatenate([_top(x[i : i + 2048] @ p.T, PARTS) for i in range(0, len(x), 2048)]).astype("i8")
+                small = _binary(_small(x).view("u1"))
+                for part in range(PARTS):
+                    c = near[:, min(part, near.shape[1] - 1)]
+                    side = ((x - p[c]) @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype="i8"))
+                    yield pa.RecordBatch.from_arrays([own.column("m"), pa.array(np.full(len(x), part, "i4")), pa.array((c << planes.shape[1]) + side), own.column("key"), small], ["m", "part", "cell", "key", "small"])
+
+    placed = staged(reps.mapInArrow(cells, "m int, part int, cell bigint, key bigint, small binary"), "cells")
+    crowds = placed.groupBy("m", "part", "cell").count().where(F.col("count") > CROWD).select("m", "part", "cell", F.ceil(F.col("count") / CROWD).alias("deals"))
+    dealt = placed.join(crowds, ["m", "part", "cell"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "part"), F.col("deals")), F.lit(0))).drop("deals")
 
     def inside(t: pa.Table) -> pa.Table:
-        x, keys = _matrix(t.column("vec")), t.column("key").to_numpy()
-        n = len(x)
-        ids, sims, lens = [], [], []
-        step = max(1, min(1024, 8_000_000 // n))  # a cell of any size is compared whole, some rows at a time
-        for i in range(0, n, step):
-            s = x[i : i + step] @ x.T
-            r = np.arange(len(s))
-            s[r, r + i] = -2
-            top = _top(s, min(k, n - 1)) if n > 1 else np.zeros((len(s), 0), int)
-            ids.append(keys[top].ravel()), sims.append(np.take_along_axis(s, top, 1).ravel()), lens.append(np.full(len(s), top.shape[1]))
+        part, keys, x = t.column("part")[0].as_py(), t.column("key").to_numpy(), _directions(t.column("small"))
+        base = t.column("base")[0].as_py() & ~0xFFFF
+        block = _bisected(x, np.random.default_rng(part))
+        order = np.argsort(block, kind="stable")
+        edges = np.searchsorted(block[order], np.arange(block.max() + 2))
+        lens, ids, sims = [], [], []
+        for i, j in zip(edges, edges[1:], strict=False):
+            own = order[i:j]
+            n, c, s = _better(x[own], np.full(len(own), -2, "f4"), k)
+            lens.append(n), ids.append(keys[own[c]]), sims.append(s)
         lens = np.concatenate(lens)
-        return pa.Table.from_arrays([t.column("m"), t.column("key"), _lists(np.concatenate(ids), lens, pa.int64()), _lists(np.concatenate(sims), lens, pa.float32())], ["m", "key", "nbrs", "sims"])
+        homes = [pa.array(base | block[order] if part == q else np.full(len(x), -(1 << 63)), pa.int64()) for q in range(3)]
+        t = t.take(pa.array(order))
+        return pa.Table.from_arrays([t.column("m"), t.column("key"), *homes, t.column("small") if part == 0 else pa.nulls(len(x), pa.binary()), _lists(np.concatenate(ids), lens, pa.int64()), _lists(np.concatenate(sims), lens, pa.float32())], ["m", "key", "b0", "b1", "b2", "small", "nbrs", "sims"])
 
-    return reps.mapInArrow(cells, "m int, cell bigint, key bigint, vec binary").groupBy("m", "cell").applyInArrow(inside, _LIST)
+    return dealt.withColumn("base", F.xxhash64("m", "part", "cell", "deal")).groupBy("m", "part", "cell", "deal").applyInArrow(inside, _LIST)
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     """One list for each key from all its lists: each neighbour once, the k nearest, ties by key; ``gained`` counts entries of rows marked new."""
 
-    def best(m, key, lens, ids, sims, new):
+    def best(cols, lens, ids, sims):
+        m, key, homes, small, new = cols["m"], cols["key"], cols["homes"], cols["small"], cols["new"]
         at, who = np.repeat(np.arange(len(key)), lens), np.repeat(key, lens)
         o = np.lexsort((np.repeat(new, lens), ids, who))  # an entry known before goes before the same one anew
         keep = np.ones(len(o), bool)
@@ -169,89 +244,64 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
         rank = np.arange(len(w)) - np.repeat(start, np.diff(np.append(start, len(w))))
         o = o[rank < k]
-        uniq, first = np.unique(key, return_index=True)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # of each key its row with the vector
+        uniq = key[first]
         n = np.zeros(len(uniq), "i8")
         np.add.at(n, np.searchsorted(uniq, who[o]), 1)
         gained = np.zeros(len(uniq), "i4")
         np.add.at(gained, np.searchsorted(uniq, who[o]), new[at[o]])
-        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(uniq), _lists(ids[o], n, pa.int64()), _lists(sims[o], n, pa.float32()), pa.array(gained)], ["m", "key", "nbrs", "sims", "gained"])
+        homes = np.maximum.reduceat(homes, first, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(uniq), *[pa.array(homes[:, q]) for q in range(3)], small.take(pa.array(first)), _lists(ids[o], n, pa.int64()), _lists(sims[o], n, pa.float32()), pa.array(gained)], ["m", "key", "b0", "b1", "b2", "small", "nbrs", "sims", "gained"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: pa.Table | None = None
         for b in batches:
-            li, ids = _flat(b, "nbrs")
-            _, sims = _flat(b, "sims")
-            cur = [b.column("m").to_numpy(), b.column("key").to_numpy(), li, ids, sims, b.column("new").to_numpy().astype("i4")]
-            if held is not None:
-                cur = [np.concatenate(x) for x in zip(held, cur, strict=True)]
-            if not len(cur[1]):
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not len(t):
                 continue
-            last = int(np.searchsorted(cur[1], cur[1][-1], "left"))  # the last key may go on in the next batch
-            cut = int(cur[2][:last].sum())
-            held = [cur[0][last:], cur[1][last:], cur[2][last:], cur[3][cut:], cur[4][cut:], cur[5][last:]]
+            key = t.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
+            held = t.slice(last)
             if last:
-                yield best(cur[0][:last], cur[1][:last], cur[2][:last], cur[3][:cut], cur[4][:cut], cur[5][:last])
-        if held is not None and len(held[1]):
-            yield best(*held)
+                yield merge(t.slice(0, last))
+        if held is not None and len(held):
+            yield merge(held)
 
-    return lists.select("m", "key", "nbrs", "sims", "new").repartition("key").sortWithinPartitions("key").mapInArrow(run, _LIST + ", gained int")
+    def merge(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        lens, ids = _flat(t, "nbrs")
+        _, sims = _flat(t, "sims")
+        small = t.column("small")
+        cols = {"m": t.column("m").to_numpy(), "key": t.column("key").to_numpy(), "homes": np.stack([t.column(f"b{q}").to_numpy() for q in range(3)], axis=1), "small": small.combine_chunks() if isinstance(small, pa.ChunkedArray) else small, "new": t.column("new").to_numpy().astype("i4")}
+        return best(cols, lens, ids, sims)
 
+    return lists.repartition("key").sortWithinPartitions("key", F.col("small").isNull()).mapInArrow(run, _LIST + ", gained int")
 
-def _introductions(graph: DataFrame, reps: DataFrame, introduced: int, k: int) -> DataFrame:
-    """New list entries: members a node knows, or that know it, are compared to each other.
 
-    A node takes its ``introduced`` nearest neighbours and as many of the nodes that name it among theirs, by a
-    hash, as the descent's sampling; so no group outgrows twice that number.
-    """
-    near = graph.select("key", F.posexplode(F.slice("nbrs", 1, introduced)).alias("pos", "nbr"))
-    back = near.select(F.col("nbr").alias("host"), F.col("key").alias("member")).withColumn("_r", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("member", "host")))).where(F.col("_r") <= introduced).drop("_r")
-    pairs = near.select(F.col("key").alias("host"), F.col("nbr").alias("member")).unionByName(back)
-    worst = F.when(F.size("sims") < k, F.lit(-2.0)).otherwise(F.element_at("sims", -1)).cast("float")
-    held = reps.select("m", "key", "vec").join(graph.select("key", worst.alias("worst")), "key").withColumnRenamed("key", "member")
-    met = pairs.join(held, "member").select("host", "member", "m", "vec", "worst").repartition("host").sortWithinPartitions("host")
-
-    def compare(host, member, m, x, worst):
-        """All pairs within each host, many hosts at once as one padded block."""
-        _, start, n = np.unique(host, return_index=True, return_counts=True)
-        width = 2 * introduced
-        slot = np.arange(len(host)) - np.repeat(start, n)
-        row = np.repeat(np.arange(len(start)), n)
-        block = np.zeros((len(start), width, x.shape[1]), "f4")
-        index = np.full((len(start), width), -1)
-        block[row, slot], index[row, slot] = x, np.arange(len(host))
-        s = block @ block.transpose(0, 2, 1)
-        a, b = np.broadcast_to(index[:, :, None], s.shape), np.broadcast_to(index[:, None, :], s.shape)
-        ok = (a >= 0) & (b >= 0)
-        a, b, s = a[ok], b[ok], s[ok]
-        ok = (member[a] != member[b]) & (s > worst[a])
-        a, b, s = a[ok], b[ok], s[ok]
-        one = np.ones(len(a), "i4")
-        return pa.RecordBatch.from_arrays([pa.array(m[a]), pa.array(member[a]), _lists(member[b], one, pa.int64()), _lists(s.astype("f4"), one, pa.float32())], ["m", "key", "nbrs", "sims"])
+def _introductions(graph: DataFrame, home: str, introduced: int, k: int) -> DataFrame:
+    """New list entries: all that the hosts of a block gather are compared to each other.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if held is not None:
-                t = pa.concat_tables([held, t]).combine_chunks()
-            host = t.column("host").to_numpy()
-            last = int(np.searchsorted(host, host[-1], "left")) if len(host) else 0
-            held = t.slice(last)
-            yield from groups(t.slice(0, last))
-        if held is not None:
-            yield from groups(held)
+    A host brings itself, its ``introduced`` nearest neighbours and, of the vectors that name it among theirs, NAMED at most by a
+    hash, as the descent's sampling; so a block never has more than BLOCK times that.
+    """
+    near = graph.select("m", "key", home, F.explode(F.slice("nbrs", 1, introduced)).alias("nbr"))
+    named = near.select(F.col("nbr").alias("host"), F.col("key").alias("member")).withColumn("_r", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("member", "host")))).where(F.col("_r") <= NAMED)
+    named = named.join(graph.select(F.col("key").alias("host"), F.col(home).alias("block")), "host").select("member", "block")
+    want = near.select(F.col("nbr").alias("member"), F.col(home).alias("block")).unionByName(graph.select(F.col("key").alias("member"), F.col(home).alias("block"))).unionByName(named)
+    worst = F.when(F.size("sims") < k, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float")
+    met = want.repartition("member").distinct().join(graph.select("m", F.col("key").alias("member"), "small", worst.alias("worst")), "member")
 
-    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        m = t.column("m").to_numpy()
-        for model in np.unique(m):
-            own = t.filter(pa.array(m == model)).combine_chunks()
-            host, member, worst, x = own.column("host").to_numpy(), own.column("member").to_numpy(), own.column("worst").to_numpy(), _matrix(own.column("vec"))
-            edges = [0, *(np.flatnonzero(host[1:] != host[:-1]) + 1)[4000::4000].tolist(), len(host)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if j > i:
-                    yield compare(host[i:j], member[i:j], np.full(j - i, model, "i4"), x[i:j], worst[i:j])
+    def inside(t: pa.Table) -> pa.Table:
+        keys = t.column("member").to_numpy()
+        lens, c, s = _better(_directions(t.column("small")), t.column("worst").to_numpy(), k)
+        some = np.flatnonzero(lens)
+        t = t.take(pa.array(some))
+        return pa.Table.from_arrays([t.column("m"), t.column("member"), _lists(keys[c], lens[some], pa.int64()), _lists(s, lens[some], pa.float32())], ["m", "key", "nbrs", "sims"])
 
-    return met.mapInArrow(run, _LIST)
+    found = met.select("m", "block", "member", "small", "worst").groupBy("m", "block").applyInArrow(inside, "m int, key bigint, nbrs array<bigint>, sims array<float>")
+    nowhere = F.lit(-(1 << 63)).cast("long")
+    return found.select("m", "key", *[nowhere.alias(f"b{q}") for q in range(3)], F.lit(None).cast("binary").alias("small"), "nbrs", "sims")
 
 
 def classes(base: DataFrame) -> DataFrame:
@@ -260,22 +310,24 @@ def classes(base: DataFrame) -> DataFrame:
 
 
 def build_graph(vectors: DataFrame, contracts: DataFrame, k: int = K, rounds: int = ROUNDS, introduced: int = INTRODUCED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(graph, classes, base): for each class the k nearest others, the classes, and all valid rows (not staged: few of them are ever needed again).
+    """(graph, classes, base): for each class the nearest others, the classes, and all valid rows (not staged: few of them are ever needed again).
 
-    graph: m, key, nbrs, sims, one row a class, nearest first. Iterations are cut by tables written to the shared
-    folder, of which each is deleted once the next stands.
+    graph: m, key, nbrs, sims, one row a class, nearest first, HELD or k entries. Rounds are cut by tables written to the shared
+    folder, of which each is deleted once the next stands. ``rounds=0`` leaves the lists of the blocks they start with.
     """
+    held = max(k, HELD)
     base = unit_vectors(vectors, contracts)
     reps = staged(classes(base), "classes")
-    old = staged(_merged(_first_lists(reps, k).withColumn("new", F.lit(0)), k), "graph")
-    for _ in range(rounds):
-        fresh = _introductions(old, reps, introduced, k).withColumn("new", F.lit(1))
-        graph = staged(_merged(old.drop("gained").withColumn("new", F.lit(0)).unionByName(fresh), k), "graph")
+    old = staged(_merged(_first_lists(reps, held).withColumn("new", F.lit(0)), held), "graph")
+    for r in range(rounds):
+        fresh = _introductions(old, f"b{r % PARTS}", introduced, held).withColumn("new", F.lit(1))
+        graph = staged(_merged(old.drop("gained").withColumn("new", F.lit(0)).unionByName(fresh), held), "graph")
         _drop(old)
         old = graph
-        if old.where("gained > 0").isEmpty():
+        renewed, entries = old.select(F.sum("gained"), F.sum(F.size("nbrs"))).first()
+        if (renewed or 0) <= SETTLED * (entries or 0):
             break
-    return old.drop("gained"), reps, base
+    return old.select("m", "key", "nbrs", "sims"), reps, base
 
 
 def _drop(df: DataFrame) -> None:
@@ -300,7 +352,7 @@ def expand(graph: DataFrame, reps: DataFrame, base: DataFrame, k: int = K, least
     Of a class only the k + 1 smallest keys can be among anybody's nearest, so a class of any size adds k rows a member.
     """
     rows, first = members or _members(reps, base, k)
-    edges = graph.select(F.col("key").alias("rep"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("rep", F.col("e.nbrs").alias("to"), F.col("e.sims").cast("double").alias("cos"))
+    edges = graph.select(F.col("key").alias("rep"), F.explode(F.arrays_zip(F.slice("nbrs", 1, k).alias("nbrs"), F.slice("sims", 1, k).alias("sims"))).alias("e")).select("rep", F.col("e.nbrs").alias("to"), F.col("e.sims").cast("double").alias("cos"))
     if least is not None:
         edges = edges.where(F.col("cos") >= least)
     targets = edges.join(first.select(F.col("rep").alias("to"), F.col("member").alias("_n")), "to", "left").select("rep", F.coalesce("_n", "to").alias("nbr"), "cos")
