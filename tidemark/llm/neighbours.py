@@ -23,21 +23,14 @@ K, HELD = 10, 16
 CELL, PIVOTS, SAMPLE = 2000, 8192, 40_000
 #: Hosts of a block at most, partitions of the table into blocks, vectors a cell may have before it is dealt out by a hash.
 BLOCK, PARTS, CROWD = 128, 3, 16_000
-#: Neighbours a host brings to its block, and as many at most of those it is a neighbour of.
-INTRODUCED, NAMED = 10, 5
+#: Neighbours a host brings to its block, and those at most it is a neighbour of; of what a vector meets in a block, how many go on.
+INTRODUCED, NAMED, SENT = 10, 5, 8
 #: Rounds of descent at most; it ends once a round renews a smaller share of the list entries.
 ROUNDS, SETTLED = 8, 0.03
 #: Cosines so close to a threshold are computed again from the vectors as they were given.
 DOUBT = 1e-2
-_LIST = "m int, key bigint, b0 bigint, b1 bigint, b2 bigint, small binary, nbrs array<bigint>, sims array<float>"
-
-
-def _flat(b: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, values) of a list column."""
-    c = b.column(name)
-    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    o = c.offsets.to_numpy()
-    return np.diff(o), c.values.to_numpy(zero_copy_only=False)[o[0] : o[-1]]
+#: A list is two binary values, of 64-bit keys and 32-bit cosines, which Spark moves without looking inside.
+_LIST = "m int, key bigint, b0 bigint, b1 bigint, b2 bigint, small binary, ids binary, sims binary"
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -49,10 +42,32 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(c.buffers()[2], "f2", count=(off[-1] - off[0]) // 2, offset=int(off[0])).reshape(len(c), -1).astype("f4")
 
 
-def _lists(ids: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
+def _offsets(lens: np.ndarray, width: int = 1) -> np.ndarray:
     off = np.zeros(len(lens) + 1, "i4")
-    np.cumsum(lens, out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(ids, kind))
+    np.cumsum(lens * width, out=off[1:])
+    return off
+
+
+def _lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(_offsets(lens)), pa.array(values, kind))
+
+
+def _packed(values: np.ndarray, lens: np.ndarray, kind: str) -> pa.Array:
+    """Lists of numbers as a binary column."""
+    v = np.ascontiguousarray(values.astype(kind))
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(_offsets(lens, v.itemsize).tobytes()), pa.py_buffer(v.tobytes())])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a binary column of numbers."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = np.dtype(kind).itemsize
+    if not len(c):
+        return np.zeros(0, "i8"), np.zeros(0, kind)
+    off = np.frombuffer(c.buffers()[1], "i4")[c.offset : c.offset + len(c) + 1]
+    if off[-1] == off[0]:
+        return np.zeros(len(c), "i8"), np.zeros(0, kind)
+    return np.diff(off).astype("i8") // width, np.frombuffer(c.buffers()[2], kind, count=(off[-1] - off[0]) // width, offset=int(off[0]))
 
 
 def unit_vectors(vectors: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -184,8 +199,8 @@ def _better(x: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return lens, np.concatenate(cols), np.concatenate(sims)
 
 
-def _first_lists(reps: DataFrame, k: int) -> DataFrame:
-    """The start of the graph: one row for each vector and partition, with its block there and the nearest ones of that block.
+def _first_lists(reps: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The start of the graph: one row for each vector and partition, with its block there and the nearest ones of that block; and a staged table to drop.
 
     A vector goes to the cells of its PARTS nearest pivots, and the blocks are cut out of cells. A cell of more than CROWD
     vectors (near copies that no plane parts) is dealt out by a hash, so that no task gets more; the descent joins it up again.
@@ -224,13 +239,16 @@ def _first_lists(reps: DataFrame, k: int) -> DataFrame:
         lens = np.concatenate(lens)
         homes = [pa.array(base | block[order] if part == q else np.full(len(x), -(1 << 63)), pa.int64()) for q in range(3)]
         t = t.take(pa.array(order))
-        return pa.Table.from_arrays([t.column("m"), t.column("key"), *homes, t.column("small") if part == 0 else pa.nulls(len(x), pa.binary()), _lists(np.concatenate(ids), lens, pa.int64()), _lists(np.concatenate(sims), lens, pa.float32())], ["m", "key", "b0", "b1", "b2", "small", "nbrs", "sims"])
+        return pa.Table.from_arrays([t.column("m"), t.column("key"), *homes, t.column("small") if part == 0 else pa.nulls(len(x), pa.binary()), _packed(np.concatenate(ids), lens, "i8"), _packed(np.concatenate(sims), lens, "f4")], ["m", "key", "b0", "b1", "b2", "small", "ids", "sims"])
+
+    return dealt.withColumn("base", F.xxhash64("m", "part", "cell", "deal")).groupBy("m", "part", "cell", "deal").applyInArrow(inside, _LIST), placed
 
-    return dealt.withColumn("base", F.xxhash64("m", "part", "cell", "deal")).groupBy("m", "part", "cell", "deal").applyInArrow(inside, _LIST)
 
+def _merged(lists: DataFrame, k: int, introduced: int) -> DataFrame:
+    """One list for each key from all its lists: each neighbour once, the k nearest, ties by key.
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    """One list for each key from all its lists: each neighbour once, the k nearest, ties by key; ``gained`` counts entries of rows marked new."""
+    ``near`` has the ``introduced`` nearest, ``worst`` the cosine to beat, ``gained`` counts entries of rows marked new.
+    """
 
     def best(cols, lens, ids, sims):
         m, key, homes, small, new = cols["m"], cols["key"], cols["homes"], cols["small"], cols["new"]
@@ -251,7 +269,11 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
         gained = np.zeros(len(uniq), "i4")
         np.add.at(gained, np.searchsorted(uniq, who[o]), new[at[o]])
         homes = np.maximum.reduceat(homes, first, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(uniq), *[pa.array(homes[:, q]) for q in range(3)], small.take(pa.array(first)), _lists(ids[o], n, pa.int64()), _lists(sims[o], n, pa.float32()), pa.array(gained)], ["m", "key", "b0", "b1", "b2", "small", "nbrs", "sims", "gained"])
+        last = np.cumsum(n) - 1
+        worst = np.where(n < k, -2, sims[o][np.maximum(last, 0)] if len(o) else -2).astype("f4")
+        brought = np.arange(len(o)) - np.repeat(last + 1 - n, n) < introduced
+        near = _lists(ids[o][brought], np.minimum(n, introduced), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(uniq), *[pa.array(homes[:, q]) for q in range(3)], small.take(pa.array(first)), _packed(ids[o], n, "i8"), _packed(sims[o], n, "f4"), near, pa.array(worst), pa.array(n.astype("i4")), pa.array(gained)], ["m", "key", "b0", "b1", "b2", "small", "ids", "sims", "near", "worst", "n", "gained"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -270,38 +292,37 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
 
     def merge(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        lens, ids = _flat(t, "nbrs")
-        _, sims = _flat(t, "sims")
+        lens, ids = _unpacked(t.column("ids"), "i8")
+        _, sims = _unpacked(t.column("sims"), "f4")
         small = t.column("small")
         cols = {"m": t.column("m").to_numpy(), "key": t.column("key").to_numpy(), "homes": np.stack([t.column(f"b{q}").to_numpy() for q in range(3)], axis=1), "small": small.combine_chunks() if isinstance(small, pa.ChunkedArray) else small, "new": t.column("new").to_numpy().astype("i4")}
         return best(cols, lens, ids, sims)
 
-    return lists.repartition("key").sortWithinPartitions("key", F.col("small").isNull()).mapInArrow(run, _LIST + ", gained int")
+    return lists.repartition("key").sortWithinPartitions("key", F.col("small").isNull()).mapInArrow(run, _LIST + ", near array<bigint>, worst float, n int, gained int")
 
 
-def _introductions(graph: DataFrame, home: str, introduced: int, k: int) -> DataFrame:
+def _introductions(graph: DataFrame, home: str) -> DataFrame:
     """New list entries: all that the hosts of a block gather are compared to each other.
 
-    A host brings itself, its ``introduced`` nearest neighbours and, of the vectors that name it among theirs, NAMED at most by a
-    hash, as the descent's sampling; so a block never has more than BLOCK times that.
+    A host brings itself, its ``near`` neighbours and, of the vectors that name it among theirs, NAMED at most by a
+    hash, as the descent's sampling; so a block never has more than BLOCK times that. Of what a vector meets in one block the
+    SENT best go on; the next rounds bring the others, if they are still better than what it has by then.
     """
-    near = graph.select("m", "key", home, F.explode(F.slice("nbrs", 1, introduced)).alias("nbr"))
+    near = graph.select("key", home, F.explode("near").alias("nbr"))
     named = near.select(F.col("nbr").alias("host"), F.col("key").alias("member")).withColumn("_r", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("member", "host")))).where(F.col("_r") <= NAMED)
     named = named.join(graph.select(F.col("key").alias("host"), F.col(home).alias("block")), "host").select("member", "block")
     want = near.select(F.col("nbr").alias("member"), F.col(home).alias("block")).unionByName(graph.select(F.col("key").alias("member"), F.col(home).alias("block"))).unionByName(named)
-    worst = F.when(F.size("sims") < k, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float")
-    met = want.repartition("member").distinct().join(graph.select("m", F.col("key").alias("member"), "small", worst.alias("worst")), "member")
+    met = want.repartition("member").distinct().join(graph.select("m", F.col("key").alias("member"), "small", "worst"), "member")
 
     def inside(t: pa.Table) -> pa.Table:
         keys = t.column("member").to_numpy()
-        lens, c, s = _better(_directions(t.column("small")), t.column("worst").to_numpy(), k)
+        lens, c, s = _better(_directions(t.column("small")), t.column("worst").to_numpy(), SENT)
         some = np.flatnonzero(lens)
         t = t.take(pa.array(some))
-        return pa.Table.from_arrays([t.column("m"), t.column("member"), _lists(keys[c], lens[some], pa.int64()), _lists(s, lens[some], pa.float32())], ["m", "key", "nbrs", "sims"])
+        return pa.Table.from_arrays([t.column("m"), t.column("member"), _packed(keys[c], lens[some], "i8"), _packed(s, lens[some], "f4")], ["m", "key", "ids", "sims"])
 
-    found = met.select("m", "block", "member", "small", "worst").groupBy("m", "block").applyInArrow(inside, "m int, key bigint, nbrs array<bigint>, sims array<float>")
-    nowhere = F.lit(-(1 << 63)).cast("long")
-    return found.select("m", "key", *[nowhere.alias(f"b{q}") for q in range(3)], F.lit(None).cast("binary").alias("small"), "nbrs", "sims")
+    found = met.select("m", "block", "member", "small", "worst").groupBy("m", "block").applyInArrow(inside, "m int, key bigint, ids binary, sims binary")
+    return found
 
 
 def classes(base: DataFrame) -> DataFrame:
@@ -318,16 +339,25 @@ def build_graph(vectors: DataFrame, contracts: DataFrame, k: int = K, rounds: in
     held = max(k, HELD)
     base = unit_vectors(vectors, contracts)
     reps = staged(classes(base), "classes")
-    old = staged(_merged(_first_lists(reps, held).withColumn("new", F.lit(0)), held), "graph")
+    first, placed = _first_lists(reps, held)
+    lists = ["m", "key", "b0", "b1", "b2", "small", "ids", "sims", "new"]
+    old = staged(_merged(first.withColumn("new", F.lit(0)), held, introduced), "graph")
+    _drop(placed)
     for r in range(rounds):
-        fresh = _introductions(old, f"b{r % PARTS}", introduced, held).withColumn("new", F.lit(1))
-        graph = staged(_merged(old.drop("gained").withColumn("new", F.lit(0)).unionByName(fresh), held), "graph")
-        _drop(old)
+        fresh = staged(_introductions(old, f"b{r % PARTS}"), "fresh")
+        graph = staged(_merged(old.withColumn("new", F.lit(0)).select(lists).unionByName(fresh.withColumns({f"b{q}": F.lit(-(1 << 63)).cast("long") for q in range(PARTS)} | {"small": F.lit(None).cast("binary"), "new": F.lit(1)})), held, introduced), "graph")
+        _drop(old), _drop(fresh)
         old = graph
-        renewed, entries = old.select(F.sum("gained"), F.sum(F.size("nbrs"))).first()
+        renewed, entries = old.select(F.sum("gained"), F.sum("n")).first()
         if (renewed or 0) <= SETTLED * (entries or 0):
             break
-    return old.select("m", "key", "nbrs", "sims"), reps, base
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (lens, ids), (_, sims) = _unpacked(b.column("ids"), "i8"), _unpacked(b.column("sims"), "f4")
+            yield pa.RecordBatch.from_arrays([b.column("m"), b.column("key"), _lists(ids, lens, pa.int64()), _lists(sims, lens, pa.float32())], ["m", "key", "nbrs", "sims"])
+
+    return old.select("m", "key", "ids", "sims").mapInArrow(opened, "m int, key bigint, nbrs array<bigint>, sims array<float>"), reps, base
 
 
 def _drop(df: DataFrame) -> None:
