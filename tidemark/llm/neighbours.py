@@ -27,8 +27,8 @@ BLOCK, PARTS, CROWD = 128, 3, 16_000
 INTRODUCED, NAMED, SENT = 10, 5, 8
 #: Rounds of descent at most; it ends once a round renews a smaller share of the list entries.
 ROUNDS, SETTLED = 8, 0.03
-#: Cosines so close to a threshold are computed again from the vectors as they were given.
-DOUBT = 1e-2
+#: What cosines of 8-bit integers, and those of 16-bit floats, may be wrong by.
+COARSE, DOUBT = 1e-2, 1e-3
 #: A list is two binary values, of 64-bit keys and 32-bit cosines, which Spark moves without looking inside.
 _LIST = "m int, key bigint, b0 bigint, b1 bigint, b2 bigint, small binary, ids binary, sims binary"
 
@@ -334,7 +334,8 @@ def build_graph(vectors: DataFrame, contracts: DataFrame, k: int = K, rounds: in
     """(graph, classes, base): for each class the nearest others, the classes, and all valid rows (not staged: few of them are ever needed again).
 
     graph: m, key, nbrs, sims, one row a class, nearest first, HELD or k entries. Rounds are cut by tables written to the shared
-    folder, of which each is deleted once the next stands. ``rounds=0`` leaves the lists of the blocks they start with.
+    folder, of which each is deleted once the next stands. ``rounds=0`` leaves the lists of the blocks they start with. Cosines are
+    those of 8-bit integers, see COARSE.
     """
     held = max(k, HELD)
     base = unit_vectors(vectors, contracts)
@@ -376,15 +377,37 @@ def _members(reps: DataFrame, base: DataFrame, k: int) -> tuple[DataFrame, DataF
     return rows, staged(first, "members")
 
 
-def expand(graph: DataFrame, reps: DataFrame, base: DataFrame, k: int = K, least: float | None = None, members: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(key, nbr, cos, rank): the k nearest rows of every row, members of its own class first, ties by key; of those with cosine of at least ``least``.
+def edges_of(graph: DataFrame, k: int) -> DataFrame:
+    """(rep, to, cos): the first k entries of each list."""
+    return graph.select(F.col("key").alias("rep"), F.explode(F.arrays_zip(F.slice("nbrs", 1, k).alias("nbrs"), F.slice("sims", 1, k).alias("sims"))).alias("e")).select("rep", F.col("e.nbrs").alias("to"), F.col("e.sims").cast("double").alias("cos"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(a, b, cos) of pairs with their vectors ``x`` and ``y`` of 16-bit floats."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = np.diff(np.frombuffer(batch.column("x").buffers()[1], "i4")[batch.column("x").offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, int)
+            for w in np.unique(widths):
+                own = batch.filter(pa.array(widths == w))
+                cos = np.einsum("ij,ij->i", _matrix(own.column("x")), _matrix(own.column("y")))
+                yield pa.RecordBatch.from_arrays([own.column("a"), own.column("b"), pa.array(cos.astype("f4"))], ["a", "b", "cos"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(score, "a bigint, b bigint, cos float")
+
+
+def rescored(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """``edges`` with the cosines of the 16-bit vectors."""
+    pairs = edges.select(F.col("rep").alias("a"), F.col("to").alias("b")).join(reps.select(F.col("key").alias("a"), F.col("vec").alias("x")), "a").join(reps.select(F.col("key").alias("b"), F.col("vec").alias("y")), "b")
+    return _scored(pairs).select(F.col("a").alias("rep"), F.col("b").alias("to"), F.col("cos").cast("double").alias("cos"))
+
+
+def expand(edges: DataFrame, reps: DataFrame, base: DataFrame, k: int = K, members: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(key, nbr, cos, rank): the k nearest rows of every row by the edges (rep, to, cos) of classes, members of its own class first, ties by key.
 
     Of a class only the k + 1 smallest keys can be among anybody's nearest, so a class of any size adds k rows a member.
     """
     rows, first = members or _members(reps, base, k)
-    edges = graph.select(F.col("key").alias("rep"), F.explode(F.arrays_zip(F.slice("nbrs", 1, k).alias("nbrs"), F.slice("sims", 1, k).alias("sims"))).alias("e")).select("rep", F.col("e.nbrs").alias("to"), F.col("e.sims").cast("double").alias("cos"))
-    if least is not None:
-        edges = edges.where(F.col("cos") >= least)
     targets = edges.join(first.select(F.col("rep").alias("to"), F.col("member").alias("_n")), "to", "left").select("rep", F.coalesce("_n", "to").alias("nbr"), "cos")
     outward = targets.join(rows, "rep", "left").select(F.coalesce("member", "rep").alias("key"), "nbr", "cos")
     inward = rows.join(first.select("rep", F.col("member").alias("nbr")), "rep").where("member <> nbr").select(F.col("member").alias("key"), "nbr", F.lit(1.0).alias("cos"))
@@ -399,7 +422,8 @@ def similar_pairs(vectors: DataFrame, contracts: DataFrame, least: float = 0.9,
     not valid (see unit_vectors) take no part; repeated rows count once; an empty table gives an empty one.
     """
     graph, reps, base = build_graph(vectors, contracts, k)
-    found = expand(graph, reps, base, k, least - DOUBT).select(F.least("key", "nbr").alias("key_a"), F.greatest("key", "nbr").alias("key_b"), "cos").groupBy("key_a", "key_b").agg(F.max("cos").alias("cos"))
+    close = rescored(edges_of(graph, max(k, HELD)).where(F.col("cos") >= least - COARSE), reps).where(F.col("cos") >= least - DOUBT)
+    found = expand(close, reps, base, k).select(F.least("key", "nbr").alias("key_a"), F.greatest("key", "nbr").alias("key_b"), "cos").groupBy("key_a", "key_b").agg(F.max("cos").alias("cos"))
     found = staged(found, "pairs")
     near = F.abs(F.col("cos") - least) <= DOUBT
     given = vectors.where("vector IS NOT NULL").select(F.shiftleft(F.col("file_id").cast("long"), 16).bitwiseOR(F.col("frame_idx").cast("long")).alias("_k"), "vector")
@@ -415,7 +439,7 @@ def similar_pairs(vectors: DataFrame, contracts: DataFrame, least: float = 0.9,
 def nearest(vectors: DataFrame, contracts: DataFrame, k: int = K) -> DataFrame:
     """(key, nbrs, cosines): the k nearest rows of each valid row, nearest first, ties by key."""
     graph, reps, base = build_graph(vectors, contracts, k)
-    flat = expand(graph, reps, base, k)
+    flat = expand(edges_of(graph, k), reps, base, k)
     lists = F.array_sort(F.collect_list(F.struct("rank", "nbr", "cos")))
     return flat.groupBy("key").agg(lists.alias("l")).select("key", F.col("l.nbr").alias("nbrs"), F.col("l.cos").alias("cosines"))
 
@@ -436,18 +460,9 @@ def search(graph: DataFrame, reps: DataFrame, queries: DataFrame, k: int = K, be
     state: DataFrame | None = None
     nodes = reps.select(F.col("key").alias("to"), F.col("vec").alias("x"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            widths = np.array([len(v) for v in b.column("vec").to_pylist()])
-            for w in np.unique(widths):
-                own = b.filter(pa.array(widths == w))
-                s = np.einsum("ij,ij->i", _matrix(own.column("vec")), _matrix(own.column("x")))
-                yield pa.RecordBatch.from_arrays([own.column("query"), own.column("to"), pa.array(s.astype("f4"))], ["query", "to", "cos"])
-
     for step in range(steps):
-        scored = fresh.distinct().join(nodes, "to").join(queries.select("query", "vec"), "query").select("query", "to", "vec", "x").mapInArrow(score, "query bigint, to bigint, cos float").withColumn("open", F.lit(0))
+        scored = fresh.distinct().join(nodes, "to").join(queries.select("query", "vec"), "query").select(F.col("query").alias("a"), F.col("to").alias("b"), "x", F.col("vec").alias("y"))
+        scored = _scored(scored).select(F.col("a").alias("query"), F.col("b").alias("to"), "cos", F.lit(0).alias("open"))
         pool = scored if state is None else state.unionByName(scored)
         pool = pool.groupBy("query", "to").agg(F.max("cos").alias("cos"), F.max("open").alias("open"))
         ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "to"))).where(F.col("rank") <= beam)
@@ -476,5 +491,4 @@ def search_rows(graph: DataFrame, reps: DataFrame, base: DataFrame, wanted: Call
     rows = rows.where(wanted("member"))
     asked = reps.where(wanted("key")).select("key").unionByName(rows.select(F.col("rep").alias("key"))).distinct()
     found = search(graph, reps, reps.join(asked, "key").select("m", F.col("key").alias("query"), "vec"), k)
-    lists = found.select(F.col("query").alias("key"), F.array("nbr").alias("nbrs"), F.array("cos").alias("sims"))
-    return expand(lists, reps, base, k, members=(rows, first)).where(wanted("key")).select(F.col("key").alias("query"), "nbr", "cos", "rank")
+    return expand(found.select(F.col("query").alias("rep"), F.col("nbr").alias("to"), "cos"), reps, base, k, (rows, first)).where(wanted("key")).select(F.col("key").alias("query"), "nbr", "cos", "rank")
