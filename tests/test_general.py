@@ -27,32 +27,74 @@ def test_replay(spark, rows):
     assert rows(incremental.replay(items, writes.limit(0), attempts.limit(0), ON, F.timestamp_seconds(F.lit(1))), "state") == [("pending",)] * 6
 
 
-def test_leases_and_fencing(spark, rows):
+def test_leases_and_fencing(spark, tmp_path, rows):
+    """Leases are seen before work is done; one that ran out is taken over, and its holder can't publish any more."""
+    items = spark.createDataFrame([(1, 1, 1), (2, 1, None)], ITEM)
+    store = incremental.Store(spark, str(tmp_path))
+    first = incremental.begin(items, ON, store, 0, 10, "a")
+    assert rows(store.book(items, ON, store.log(), 5), "file_id", "state", "token", "owner", "lease_until") == [(1, "leased", first, "a", 10), (2, "leased", first, "a", 10)]
+    beside = incremental.begin(items, ON, store, 5, 10, "b")
+    assert incremental.leased(items, ON, store, beside).count() == 0 and beside > first
+    assert rows(store.book(items, ON, store.log(), 10), "state") == [("pending",)] * 2
+    late = incremental.begin(items, ON, store, 20, 10, "c")
+    assert incremental.leased(items, ON, store, late).count() == 2
+    with pytest.raises(incremental.Stale):
+        incremental.publish(store, first)
+    assert rows(store.book(items, ON, store.log(), 21), "file_id", "state", "token") == [(1, "leased", late), (2, "leased", late)]
+    incremental.publish(store, late)
+    incremental.publish(store, late)  # said twice, done once
+    assert rows(store.book(items, ON, store.log(), 99), "file_id", "state") == [(1, "done"), (2, "done")]
+    with pytest.raises(incremental.Stale):
+        incremental.publish(store, first)
+    assert [e.kind for e in store.log()] == ["lease", "lease", "lease", "done"]
+
+
+def test_two_begin_at_once(spark, tmp_path, rows, monkeypatch):
+    """Both read the same log; only one gets the next entry, and the other leases what is left."""
     items = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], ITEM)
-    empty = items.limit(0).select(*ON, F.lit("").alias("state"), F.lit(0).cast("long").alias("token"), F.lit("").alias("owner"), F.lit(0).cast("long").alias("lease_until"))
-    book = incremental.lease(incremental.reconcile(empty, items, ON), "a", 1, 0, 10)
-    assert rows(book, "file_id", "state", "token") == [(1, "leased", 1), (2, "leased", 1)]
-    late = incremental.lease(incremental.expire(book, 20), "b", 2, 20, 10)
-    stale = items.withColumn("token", F.lit(1).cast("long"))
-    assert rows(incremental.complete(late, stale, ON), "file_id", "state") == [(1, "leased"), (2, "leased")]
-    assert incremental.rejected(late, stale, ON).count() == 2
-    fresh = items.where("file_id = 1").withColumn("token", F.lit(2).cast("long"))
-    done = incremental.complete(late, fresh.union(fresh), ON)
-    assert rows(done, "file_id", "state") == [(1, "done"), (2, "leased")]
-    assert rows(incremental.complete(done, stale, ON), "file_id", "state") == [(1, "done"), (2, "leased")]
+    store, other = incremental.Store(spark, str(tmp_path)), incremental.Store(spark, str(tmp_path))
+    append, rivals = store.append, []
+
+    def beaten(at, entry):
+        if not rivals:
+            rivals.append(incremental.begin(items.where("file_id = 1"), ON, other, 0, 10, "rival"))
+        return append(at, entry)
+
+    monkeypatch.setattr(store, "append", beaten)
+    mine = incremental.begin(items, ON, store, 0, 10, "me")
+    assert rows(incremental.leased(items, ON, store, mine)) == [(2, 1, 1)] and rows(incremental.leased(items, ON, store, rivals[0])) == [(1, 1, 1)]
 
 
 def test_runs_skip_and_repeat_nothing(spark, tmp_path, rows):
     store = str(tmp_path)
-    first = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], ITEM)
+    first = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 1, 1), (4, 1, None), (5, None, None)], ITEM)
     with pytest.raises(ZeroDivisionError):
         incremental.run_once(first, ON, lambda df: df.where(F.lit(1 / 0)), store, 0)
     assert incremental.finished(spark, store) is None
-    incremental.run_once(first, ON, lambda df: df, store, 0)
+    incremental.run_once(first, ON, lambda df: df.distinct(), store, 0)
     more = first.union(spark.createDataFrame([(2, 2, 5), (3, 1, 1)], ITEM))
     incremental.run_once(more, ON, lambda df: df, store, 1)
     incremental.run_once(more, ON, lambda df: df, store, 2)
-    assert rows(incremental.finished(spark, store)) == [(1, 1, 1), (2, 1, 1), (2, 2, 5), (3, 1, 1)]
+    assert rows(incremental.finished(spark, store)) == sorted([(1, 1, 1), (2, 1, 1), (2, 2, 5), (3, 1, 1), (4, 1, None), (5, None, None)], key=repr)
+
+
+def test_killed_between_lease_and_publish(spark, tmp_path, rows):
+    store = str(tmp_path)
+    items = spark.createDataFrame([(1, 1, 1), (2, 1, None)], ITEM)
+
+    class Killed(BaseException):
+        pass
+
+    def die(df):
+        raise Killed
+
+    with pytest.raises(Killed):
+        incremental.run_once(items, ON, die, store, 0, 10)
+    incremental.run_once(items, ON, lambda df: df, store, 5, 10)
+    assert incremental.finished(spark, store).count() == 0  # the dead run's lease still stands
+    incremental.run_once(items, ON, lambda df: df, store, 10, 10)
+    incremental.run_once(items, ON, lambda df: df, store, 50, 10)
+    assert rows(incremental.finished(spark, store)) == [(1, 1, 1), (2, 1, None)]
 
 
 FEED = "seq bigint, kind string, file_id bigint, generation bigint, path string, mtime_ns bigint, status string"

@@ -78,12 +78,36 @@ def test_warehouse(spark, tmp_path):
     assert w.valid_snapshot("m", 2, 5) and not w.valid_snapshot("m", 2, 4) and not w.valid_snapshot("m", 3, 5)
     with w.owner(), pytest.raises(RuntimeError), w.owner():
         pass
-    m = tmp_path / "MANIFEST.json"
-    m.write_text(m.read_text().replace("v=2", "v=1"))
+    w.commit({"s": spark.range(4).selectExpr("id", "if(id = 1, null, id) AS x")}, sealed=("s",))
+    assert w.intact("s") and not w.intact("t") and w.valid_snapshot("m", 2, 5, "s")
+    at = w.manifest()
+    other = w.commit({"s": spark.range(4).selectExpr("id", "if(id = 2, null, id) AS x")})
+    assert not w.intact("s", at | {"tables": other["tables"]}) and w.intact("s", at)
+    m = sorted((tmp_path / "manifests").glob("*.json"))[-1]
+    m.write_text(m.read_text().replace("v=4", "v=1"))
     with pytest.raises(ValueError):
         w.manifest()
 
 
+def test_two_commits_of_one_version(spark, tmp_path, monkeypatch):
+    w, rival = Warehouse(spark, str(tmp_path)), Warehouse(spark, str(tmp_path))
+    create = w.folder.create
+    monkeypatch.setattr(w.folder, "create", lambda *a: (rival.commit({"t": spark.range(2)}), create(*a))[1])
+    with pytest.raises(RuntimeError):
+        w.commit({"t": spark.range(7)})
+    assert rival.read("t").count() == 2
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.json"
     f.write_text(json.dumps({"top_k": 30, "roots": ["/a"]}))

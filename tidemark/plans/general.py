@@ -14,7 +14,9 @@ STATE = ["file_id", "generation", "mtime_ns"]
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     items = incremental.current_rows(table(spark, d, "files"), keep=["file_id", "generation", "mtime_ns"])
-    return incremental.replay(items, table(spark, d, "run_log"), table(spark, d, "index_runs"), STATE, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    runs = table(spark, d, "index_runs")
+    now = runs.agg(F.max(F.greatest("started_at", "finished_at"))).first()[0]  # one value: the last thing that is known to have happened
+    return incremental.replay(items, table(spark, d, "run_log"), runs, STATE, F.lit(now).cast("timestamp_ntz"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +65,10 @@ d AS (SELECT path_key, 'only_in_files' AS field, NULL::VARCHAR AS left_value, NU
  UNION ALL SELECT path_key, 'mtime_ns', lm::VARCHAR, rm::VARCHAR FROM j WHERE lk = rk AND lm IS DISTINCT FROM rm
  UNION ALL SELECT path_key, 'inode', li::VARCHAR, ri::VARCHAR FROM j WHERE lk = rk AND li IS DISTINCT FROM ri)"""
 _OPEN = f"""WITH {_CURRENT},
-w AS (SELECT r.file_id, r.generation, r.mtime_ns, max(CASE WHEN i.state = 'succeeded' THEN 1 ELSE 0 END) AS won, max(r.run_id * 1048576 + r.attempt) AS token
- FROM run_log r LEFT JOIN index_runs i ON r.run_id = i.run_id AND r.attempt = i.attempt GROUP BY ALL),
-s AS (SELECT cur.file_id, cur.generation, cur.mtime_ns, CASE WHEN w.won = 1 THEN 'done' ELSE 'pending' END AS state, coalesce(w.token, 0)::BIGINT AS token
+w AS (SELECT r.file_id, r.generation, r.mtime_ns, max(CASE WHEN i.state = 'succeeded' THEN 1 ELSE 0 END) AS won, max(r.run_id * 1048576 + r.attempt) AS token,
+ max(CASE WHEN i.state = 'running' AND i.started_at + INTERVAL 1 HOUR > n.now THEN 1 ELSE 0 END) AS held
+ FROM (SELECT max(greatest(started_at, finished_at)) AS now FROM index_runs) n, run_log r LEFT JOIN index_runs i ON r.run_id = i.run_id AND r.attempt = i.attempt GROUP BY r.file_id, r.generation, r.mtime_ns),
+s AS (SELECT cur.file_id, cur.generation, cur.mtime_ns, CASE WHEN w.won = 1 THEN 'done' WHEN w.held = 1 THEN 'leased' ELSE 'pending' END AS state, coalesce(w.token, 0)::BIGINT AS token
  FROM cur LEFT JOIN w ON cur.file_id = w.file_id AND cur.generation = w.generation AND cur.mtime_ns = w.mtime_ns)"""
 _FEED = """WITH ok AS (SELECT DISTINCT * FROM mutations WHERE file_id >= 1 AND generation >= 1 AND ((kind = 'upsert' AND path <> '') OR (kind = 'delete' AND path IS NULL))),
 t AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY generation DESC, seq DESC) AS rn FROM ok),

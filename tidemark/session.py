@@ -31,7 +31,8 @@ def build(app: str = "tidemark", master: str | None = None, **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is chosen, once a session.
+    Only where the session names none and runs on one machine (tests) a temporary folder is chosen, once a session; on a
+    cluster that is an error, since executors would write to disks that no other machine sees.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(path)
     return path
@@ -66,13 +69,21 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an input at most that ``spread`` shuffles.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, where it has fewer: a small file that can't be split would keep one core busy.
+    """``df`` in as many partitions as there are cores, where it has fewer and is small: a file that can't be split would keep one core busy.
 
-    Larger inputs come back as they are, without a shuffle.
+    Inputs above SPREAD_BYTES come back as they are: their splits (``spark.sql.files.maxPartitionBytes``) are work enough
+    for a core each, and whole texts are never shuffled on a large cluster for the sake of idle cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 @contextmanager
