@@ -81,7 +81,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    if int(plan.optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
