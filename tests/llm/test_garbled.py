@@ -59,6 +59,38 @@ def test_every_stretch_comes_back(model):
     assert fixed == lost + between + whole and "utf-8 as cp1252" in names and not lossless
 
 
+def test_any_place_of_a_long_text(spark, rows, model):
+    """Lost characters before capitals, thirty stretches in one text, and Han text without a blank, garbled where a fixed cut would lie."""
+    one, many = ("utf-8", "cp1252", 1), "El niño perdió el paraguas en la estación."
+    han = "清晨的河面浮着一层薄雾，老人把小船推离岸边，慢慢划向对岸的村庄。" * 1600
+    assert len(han) > 50_000 and not garbled.judge(model, han[:3000])
+    broken = han[:19_990] + garbled.garble(han[19_990:20_020], one) + han[20_020:]
+    texts = [
+        "M?NCHEN UND K?LN: DIE S?DDEUTSCHE GR??E DER M?HLE IN T?BINGEN, F?NF ?BER ALLE ST?DTE. " * 3,
+        ("\n" + "plain words of no account " * 60 + "\n").join([garbled.garble(many, one)] * 30),
+        broken,
+        "Is it so? Yes. WHY? BECAUSE. " * 20,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string")
+    got = {r.k: r for r in garbled.find_garbled(df, ["k"], "content", model).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert not got[0].lossless and got[1].restored == ("\n" + "plain words of no account " * 60 + "\n").join([many] * 30) and got[2].restored == han
+    assert "".join(model.parts(broken, 5000)) == broken
+    assert "".join(model.parts(texts[1], 5000)) == texts[1] and len(model.parts(texts[1], 5000)) > 5
+
+
+def test_scan_is_the_best_stretch(model):
+    """The scan over telling bigrams against a plain one over all."""
+    rng = random.Random(8)
+    for _ in range(40):
+        t = "".join(rng.choice(["Ã©", "é", "a", "plain words ", "?", "中", "Ð°", "\n"]) for _ in range(rng.randrange(1, 80)))
+        sums = model.ratio[:, garbled.bigrams(t)].cumsum(axis=1, dtype="f8")
+        best = {c: max((row[j] - (row[i - 1] if i else 0) for i in range(len(row)) for j in range(i, len(row))), default=0) for c, row in enumerate(sums)}
+        got = {c: s for s, c, _, _ in model.scan(t)}
+        assert {c for c, s in best.items() if s >= garbled.CONFIRMED + 1e-3} <= set(got)
+        assert all(abs(best[c] - s) < 1e-3 for c, s in got.items())
+
+
 def test_every_chain_inverts_strictly():
     for chain in garbled.CHAINS:
         if chain[1] == "utf-8" or chain[0] == chain[1]:

@@ -7,6 +7,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +61,11 @@ CHAINS = [
     ("ascii", "ascii", 1),
     ("latin-1", "latin-1", 1),
 ]
-#: Rows at most that the classifier is trained on; the choice follows a hash of the keys.
-TRAIN_ROWS = 4000
+#: What the classifier is trained on: rows at most, by a hash of their keys; lines of them at most, by a hash of the line, each in pieces of
+#: so many characters; lines at most of the first rounds, which only tell sound lines from garbled ones.
+TRAIN_ROWS, TRAIN_LINES, TRAIN_PIECE, FIRST_LINES = 4000, 20_000, 400, 4000
+#: What a bigram that tells nothing takes from every chain.
+DULL = -0.1
 #: A bigram's log likelihood ratio lies within these bounds, so that one strange pair of bytes is no evidence alone.
 LEAST, MOST = -4.0, 4.0
 #: Score that a stretch must reach: where inverting it gives valid text, and where nothing can confirm it.
@@ -140,21 +145,64 @@ class Model:
     weight: np.ndarray
     margin: float
 
+    def runs(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bigrams that tell something, some at a time: their places and, for each chain, the sum of ratios up to and before each.
+
+        Every bigram between two of them takes DULL, so that nothing is lost by leaving them out.
+        """
+        grams = bigrams(text)
+        at = np.flatnonzero(_TELLING[grams])
+        total = np.zeros((len(self.chains), 1))
+        last = -1
+        for i in range(0, len(at), 8192):
+            here = at[i : i + 8192]
+            dull = DULL * (np.diff(here, prepend=last) - 1)
+            ratio = self.ratio[:, grams[here]]
+            sums = np.cumsum(ratio + dull, axis=1, dtype="f4") + total
+            yield here, sums, sums - ratio
+            total, last = sums[:, -1:], here[-1]
+
     def scan(self, text: str) -> list[tuple[float, int, int, int]]:
         """(score, chain, from, to), the likeliest first: for each chain the stretch of bytes with the highest sum of ratios."""
-        grams = bigrams(text)
-        if not len(grams):
-            return []
-        sums = np.cumsum(self.ratio[:, grams], axis=1, dtype="f4")
-        before = np.minimum.accumulate(np.concatenate([np.zeros((len(sums), 1), "f4"), sums[:, :-1]], axis=1), axis=1)
-        gain = sums - before
-        ends = gain.argmax(axis=1)
-        found = []
-        for c in np.flatnonzero(gain[np.arange(len(gain)), ends] >= CONFIRMED):
-            end, low = ends[c], before[c, ends[c]]
-            start = 0 if low >= 0 else int(np.flatnonzero(sums[c, :end] <= low)[-1]) + 1
-            found.append((float(gain[c, end]), int(c), start, int(end) + 2))
-        return sorted(found, key=lambda x: -x[0])
+        n = len(self.chains)
+        rows = np.arange(n)
+        low, low_at = np.full(n, np.inf), np.zeros(n, int)
+        best, start, stop = np.zeros(n), np.zeros(n, int), np.zeros(n, int)
+        for here, sums, before in self.runs(text):
+            lowest = np.minimum.accumulate(np.concatenate([low[:, None], before], axis=1), axis=1)[:, 1:]
+            gain = sums - lowest
+            ends = gain.argmax(axis=1)
+            top = gain[rows, ends]
+            for c in np.flatnonzero((top > best) & (top >= CONFIRMED)):
+                best[c], stop[c] = top[c], here[ends[c]] + 2
+                if lowest[c, ends[c]] < low[c]:
+                    start[c] = here[np.flatnonzero(before[c, : ends[c] + 1] <= lowest[c, ends[c]])[-1]]
+                else:
+                    start[c] = low_at[c]
+            least = before.argmin(axis=1)
+            fell = before[rows, least] < low
+            low[fell], low_at[fell] = before[rows, least][fell], here[least[fell]]
+        return sorted(((float(best[c]), int(c), int(start[c]), int(stop[c])) for c in np.flatnonzero(best >= CONFIRMED)), key=lambda x: -x[0])
+
+    def parts(self, text: str, size: int) -> list[str]:
+        """The text in parts of about ``size`` bytes, cut only where no chain's stretch can go on: each would do better to start anew there."""
+        cuts, low, last = [], np.full((len(self.chains), 1), np.inf), 0
+        for here, sums, before in self.runs(text):
+            lowest = np.minimum.accumulate(np.concatenate([low, before], axis=1), axis=1)
+            free = here[1:][(before[:, 1:] <= lowest[:, 1:-1]).all(axis=0)]
+            for at in free:
+                if at - last >= size:
+                    cuts.append(int(at))
+                    last = at
+            low = lowest[:, -1:]
+        data = text.encode("utf-8", "surrogatepass")
+        out, begin = [], 0
+        for at in cuts:
+            while at < len(data) and 128 <= data[at] < 192:  # not within a character
+                at += 1
+            out.append(data[begin:at].decode("utf-8", "surrogatepass"))
+            begin = at
+        return [*out, data[begin:].decode("utf-8", "surrogatepass")]
 
     def worst(self, text: str) -> float:
         return max([0.0, *(x[0] for x in self.scan(text))])
@@ -164,9 +212,12 @@ class Model:
         return float(self.weight[bigrams(text)].sum())
 
     def sounder(self, new: str | None, old: str, share: float = 1.0) -> bool:
-        """Whether a stretch set right is less strange, by a share of the margin and by two fifths."""
+        """Whether a stretch set right is less strange, by a share of the margin and by two fifths; what both have at their ends is left out."""
         if new is None or new == old:
             return False
+        a = len(commonprefix([new, old]))
+        z = len(commonprefix([new[a:][::-1], old[a:][::-1]]))
+        new, old = new[max(0, a - 1) : len(new) - max(0, z - 1)], old[max(0, a - 1) : len(old) - max(0, z - 1)]
         was, now = self.strange(old), self.strange(new)
         return was - now >= share * self.margin and now < 0.6 * was
 
@@ -196,7 +247,7 @@ def train(texts: list[str], rounds: int = 3, chains: list[tuple[str, str, int]]
     for k in range(rounds):
         if model is not None:
             clean = [x for x in clean if not judge(model, x)]
-        lines = clean if k == rounds - 1 else clean[:: max(1, len(clean) // 4000)]
+        lines = clean if k == rounds - 1 else clean[:FIRST_LINES]
         everything = _counts(lines)
         ratio = np.empty((len(chains), 65536), "f4")
         for i, chain in enumerate(chains):
@@ -206,7 +257,7 @@ def train(texts: list[str], rounds: int = 3, chains: list[tuple[str, str, int]]
             # rates for the same amount of text: what a chain leaves alone is no evidence, whatever else it does
             usual = np.maximum(before, everything * max(1, before.sum()) / max(1, everything.sum()))
             ratio[i] = np.log(after + 0.5) - np.log(usual + 0.5)
-        ratio[:, ~_TELLING] = -0.1
+        ratio[:, ~_TELLING] = DULL
         model = Model(chains, np.clip(ratio, LEAST, MOST), np.where(_TELLING, np.log(np.maximum(1, len(lines) * USUAL / (everything + 0.5))), 0), MARGIN if k == rounds - 1 else MARGIN / 2)
     return model
 
@@ -225,7 +276,7 @@ def _piece(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def _back(text: str, chain: tuple[str, str, int]) -> str:
-    """The text with every part set right that the chain strictly inverts."""
+    """The text with every part set right that the chain strictly inverts: a line, a word, a run beyond ASCII, or what the wrong encoding can write of it."""
     whole = invert(text, chain)
     if whole is not None:
         return whole
@@ -233,13 +284,18 @@ def _back(text: str, chain: tuple[str, str, int]) -> str:
         parts = re.split(split, text)
         if len(parts) > 1:
             return "".join(x if x.isascii() else _back(x, chain) for x in parts)
-    return text
+    runs = [(fits, "".join(x)) for fits, x in groupby(text, lambda x: to_bytes(x, chain[1]) is not None)]
+    return "".join((invert(x, chain) or x) if fits else x for fits, x in runs) if len(runs) > 1 else text
 
 
 #: What characters that a charset lacks leave behind.
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]|\?\?|(^|\s)\?[^\W\d_]")
 
 
+#: All that can be found at all, for Java: a character beyond ASCII, or question marks where ``_LOST`` sees them in ASCII.
+_SUSPECT = r"[^\x00-\x7f]|[A-Za-z]\?[A-Za-z]|\?\?|(?:^|[\s\x1c-\x1f])\?[A-Za-z]"
+
+
 @dataclass
 class Finding:
     chain: tuple[str, str, int]
@@ -325,10 +381,11 @@ def restore(model: Model, text: str) -> tuple[str, list[str], bool]:
     return "".join(done), names, whole
 
 
-def fit(docs: DataFrame, text: str, keys: list[str], rows: int = TRAIN_ROWS) -> Model:
-    """The model of a table's texts, from ``rows`` of them at most, chosen by a hash of the keys."""
-    sample = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(*keys).alias("_h"), F.substring(text, 1, 4000).alias("_t")).orderBy("_h", "_t").limit(rows)
-    return train([r[1] for r in sample.collect()])
+def fit(docs: DataFrame, text: str, keys: list[str], rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Model:
+    """The model of a table's texts, from ``lines`` lines at most of ``rows`` rows at most, both chosen by hashes; any place of a text may be drawn."""
+    sample = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(*keys).alias("_h"), F.col(text).alias("_t")).orderBy("_h", F.xxhash64("_t")).limit(rows)
+    line = sample.select(F.explode(F.regexp_extract_all("_t", F.lit(f"([^\\n]{{1,{TRAIN_PIECE}}})"))).alias("_l")).where(F.col("_l").rlike(_SUSPECT)).distinct()
+    return train([r[0] for r in line.orderBy(F.xxhash64("_l"), "_l").limit(lines).collect()])
 
 
 def find_garbled(docs: DataFrame, keys: list[str], text: str, model: Model | None = None) -> DataFrame:
@@ -342,15 +399,15 @@ def find_garbled(docs: DataFrame, keys: list[str], text: str, model: Model | Non
     model = model or fit(docs, text, keys)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = spread(docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")))
-    # sound by construction: ASCII alone, without a question mark inside or in a row
-    source = source.where(F.col("_text").rlike(r"[^\x00-\x7f]|\?[a-z?]"))
+    source = source.where(F.col("_text").rlike(_SUSPECT))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", chains string, restored string, lossless boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             rows, chains, fixed, whole = [], [], [], []
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
+            texts = b.column(len(keys)).to_pylist()
+            for i, t in enumerate(texts):
                 if found := _row(m, t):
                     rows.append(i), chains.append(found[0]), fixed.append(found[1]), whole.append(found[2])
             taken = b.take(pa.array(rows, pa.int32()))
@@ -359,19 +416,11 @@ def find_garbled(docs: DataFrame, keys: list[str], text: str, model: Model | Non
     return source.mapInArrow(run, schema).distinct()
 
 
-#: Characters that are judged at a time; a longer text is judged part by part, so that memory has a bound.
+#: Bytes that are judged at a time; a longer text is judged part by part, see ``Model.parts``.
 _PART = 20_000
 
 
 def _row(model: Model, text: str) -> tuple[str, str, bool] | None:
-    if len(text) <= _PART:
-        parts = [text]
-    else:
-        parts, at = [], 0
-        while at < len(text):
-            cut = text.rfind(" ", at + _PART // 2, at + _PART) + 1 or at + _PART
-            parts.append(text[at:cut])
-            at = cut
-    done = [restore(model, p) for p in parts]
+    done = [restore(model, p) for p in ([text] if len(text) <= _PART else model.parts(text, _PART))]
     names = list(dict.fromkeys(n for _, ns, _ in done for n in ns))
     return (", ".join(names), "".join(t for t, _, _ in done), all(ok for _, _, ok in done)) if names else None
