@@ -59,6 +59,56 @@ def test_replaced_middle():
     assert agreed > 15
 
 
+def test_longer_items_against_brute_force():
+    """Items with shared turns of phrase, many edits, and stretches of every length."""
+    rng = random.Random(12)
+    agreed = 0
+    for _ in range(60):
+        n = rng.choice([8, 16, 24, 30, 31, 40, 52])
+        item = [rng.choice(WORDS[:60]) for _ in range(n)]
+        a = rng.randrange(n // 2 + 1)
+        part = item[a : a + rng.randrange(n // 2 - 1, n + 1)]
+        for _ in range(rng.randrange(0, max(1, len(part) // 8) + 2)):
+            k = rng.randrange(len(part))
+            part = {0: part[:k] + ["zz"] + part[k + 1 :], 1: part[:k] + part[k + 1 :], 2: part[:k] + ["yy"] + part[k:]}[rng.randrange(3)]
+        doc = rng.sample(WORDS, 9) + part + rng.sample(WORDS, 9)
+        got = dict(leakage.matches(leakage.build_index([(1, " ".join(item)), (2, " ".join(item[:5] + WORDS[100:140]))]), " ".join(doc))).get(0, 0)
+        want = brute(item, doc)
+        assert bool(got) == bool(want), (item, doc, got, want)
+        agreed += bool(want)
+    assert agreed > 15
+
+
+def test_every_stretch_holds_a_run():
+    for n in range(1, 200):
+        for length in range(leakage.least_words(n), n + 1):
+            assert -(-(length - length // 8) // (length // 8 + 1)) >= leakage.run_of(n), (n, length)
+
+
+def test_scripts_without_spaces(spark, rows):
+    """Items of Han and kana within longer texts, a character replaced, and Korean, which has spaces."""
+    zh, ja, ko = "春天的黄河从高原流向平原带来肥沃的泥土和两岸的歌声与人们的希望一起奔向遥远的大海", "夜明けの港では漁師たちが網を直しながら沖の天気について静かに話していました", "겨울 바다는 조용하고 아이들은 모래 위에 작은 성을 쌓았다"
+    assert leakage.words("北京 カナk2") == ["北", "京", "カ", "ナ", "k2"]
+    items = spark.createDataFrame([(1, zh), (2, ja), (3, ko)], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, "这是一篇很长的文章。" * 50 + zh + "。后面还有别的内容。"), (2, "前書き。" * 30 + ja[:25] + "、" + ja[26:] + "。終わり"), (3, "앞글 " + ko + " 뒷글"), (4, "这是一篇很长的文章。" * 50), (5, "他说：" + zh[10:34] + "……")],
+        "doc_id bigint, text string",
+    )
+    assert rows(leakage.find_leaks(docs, items), "doc_id", "item_id") == [(1, 1), (2, 2), (3, 3), (5, 1)]
+
+
+def test_stock_phrases_and_many_items(spark):
+    """100,000 items that share a phrase, in one pass; a document with the phrase alone matches none."""
+    rng = random.Random(2)
+    phrase = "as a matter of fact"
+    items = spark.createDataFrame([(i, f"{phrase} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(12))}") for i in range(100_000)], "item_id bigint, text string")
+    texts = {r[0]: r[1] for r in items.where("item_id IN (5, 77777)").collect()}
+    docs = spark.createDataFrame([(1, f"{phrase} nothing leaks here " * 50), (2, "before " + texts[5]), (3, texts[77777] + " after")], "doc_id bigint, text string")
+    got = leakage.find_leaks(docs, items)
+    assert sorted(map(tuple, got.select("doc_id", "item_id").collect())) == [(2, 5), (3, 77777)]
+    assert got._jdf.queryExecution().toString().count("Union") == 0
+
+
 def test_writing_does_not_matter():
     assert leakage.words("“Çà—va”,\nNaïve soft­ware​ 12!") == ["ca", "va", "naive", "software", "12"]
     assert leakage.words(None) == leakage.words("") == leakage.words(" \n—") == []
@@ -82,5 +132,5 @@ def test_blocks_give_the_same(spark, rows, monkeypatch):
     docs = [(i, " ".join(rng.sample(WORDS, 5) + items[i % 30][1].split()[: rng.randrange(5, 15)])) for i in range(60)]
     a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     whole = rows(leakage.find_leaks(a, b))
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 400)
     assert rows(leakage.find_leaks(a, b)) == whole and whole

@@ -17,14 +17,16 @@ from tidemark.session import spread
 
 #: Words a fingerprint covers and fingerprints a window covers: any shared run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 3, 2
-#: Evaluation items held in memory at once; more are matched in further passes.
-BLOCK_ITEMS = 50_000
-_WORD = re.compile(r"[^\W_]+")
+#: Characters of evaluation items that an index holds, which is what each task keeps in memory: some 100 MB. Only beyond them is there a further pass.
+BLOCK_CHARS = 32_000_000
+#: Scripts written without spaces, of which each character counts as a word (fixed values): Thai to Lao, Burmese, Khmer, kana, bopomofo, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
 _MARKS = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­​-‏⁠﻿]")
 
 
 def words(text: str | None) -> list[str]:
-    """Words of a text without case, accents, punctuation, invisible marks and spacing."""
+    """Words of a text without case, accents, punctuation, invisible marks and spacing; of scripts without spaces, the characters."""
     if not text:
         return []
     if not text.isascii():
@@ -109,10 +111,14 @@ def longest_stretch(item: np.ndarray, doc: np.ndarray, i: int, j: int, least: in
 
 @dataclass
 class Index:
-    """Fingerprints of a block of items, sorted by hash."""
+    """Fingerprints of a block of items, sorted by hash; the words of all items in a row, with RUN words that match nothing after each."""
 
     ids: list
     items: list[np.ndarray]
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    run: np.ndarray
     specs: list[tuple[int, int]]
     hashes: list[np.ndarray]
     item: list[np.ndarray]
@@ -133,6 +139,18 @@ def spec_of(n: int) -> tuple[int, int]:
     return (GRAM, WINDOW) if n >= 7 else (least_words(n), 1)
 
 
+#: Equal words in a row at most that ``run_of`` asks for.
+RUN = 7
+
+
+def run_of(n: int) -> int:
+    """Equal words in a row that every stretch that counts holds, for an item of n words.
+
+    A stretch of L words with L // 8 edits falls into that many runs and one more, of which the longest has at least the mean length.
+    """
+    return min(RUN, min(-(-(x - x // 8) // (x // 8 + 1)) for x in range(least_words(n), min(n, 64) + 1))) if n <= 64 else 6 if n < 98 else RUN
+
+
 def build_index(rows: list[tuple]) -> Index:
     ids, items = [], []
     for item_id, text in rows:
@@ -151,31 +169,81 @@ def build_index(rows: list[tuple]) -> Index:
         h = np.concatenate(hs)
         order = np.argsort(h, kind="stable")
         hashes.append(h[order]), item.append(np.concatenate(its)[order]), pos.append(np.concatenate(ps)[order])
-    return Index(ids, items, specs, hashes, item, pos)
+    start = np.cumsum([RUN, *(len(c) + RUN for c in items)])[: len(items)]
+    flat = np.zeros(RUN + sum(len(c) + RUN for c in items), "u8")
+    for at, c in zip(start, items, strict=True):
+        flat[at : at + len(c)] = c
+    return Index(ids, items, flat, start, np.array([len(c) for c in items], int), np.array([run_of(len(c)) for c in items], int), specs, hashes, item, pos)
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of n from lo on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def hits(index: Index, doc: np.ndarray, spec: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place in it, place in the document) of the fingerprints that both have and that can lie in a stretch that counts.
+
+    Items of whose words the document lacks too many are left out first, then fingerprints in too few equal words. Both checks are
+    steps over whole arrays, and the first one is over distinct fingerprints, so that a stock phrase of many items costs little.
+    """
+    gram = index.specs[spec][0]
+    at, h = fingerprints(doc, *index.specs[spec])
+    known = index.hashes[spec]
+    found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    at, h = at[found], h[found]
+    own, which = np.unique(h, return_inverse=True)
+    lo = np.searchsorted(index.hashes[spec], own, "left")
+    n = np.searchsorted(index.hashes[spec], own, "right") - lo
+    if not n.any():
+        return (np.zeros(0, int),) * 3
+    r = _ranges(lo, n)
+    asked, back = np.unique(index.item[spec][r], return_inverse=True)
+    size = index.size[asked]
+    words_of, known = index.flat[_ranges(index.start[asked], size)], np.unique(doc)
+    there = known[np.minimum(np.searchsorted(known, words_of), len(known) - 1)] == words_of
+    half = (size + 1) // 2
+    ok = (np.add.reduceat(there, np.cumsum(size) - size, dtype=int) >= half - half // 8)[back]
+    n = np.bincount(np.repeat(np.arange(len(own)), n)[ok], minlength=len(own))
+    r = r[ok]
+    first = np.cumsum(n) - n
+    seen = n[which]
+    r = r[_ranges(first[which], seen)]
+    item, i, j = index.item[spec][r], index.pos[spec][r], np.repeat(at, seen)
+    padded = np.concatenate([np.ones(RUN, "u8"), doc, np.ones(RUN, "u8")])  # 1 here and 0 there: no word's code in practice, and unequal
+    a, b = index.start[item] + i, j + RUN
+    run = np.zeros(len(r), int)
+    going = np.ones(len(r), bool)
+    for d in range(RUN):
+        going = going & (index.flat[a + d] == padded[b + d])
+        run += going
+    full = run >= gram  # not only the hashes agree
+    going = full.copy()
+    for d in range(1, RUN):
+        going = going & (index.flat[a - d] == padded[b - d])
+        run += going
+    ok = full & (run >= index.run[item])
+    return item[ok], i[ok], j[ok]
 
 
 def matches(index: Index, text: str | None) -> list[tuple[int, int]]:
     """(index of an item, longest stretch) for the items that a text holds."""
     doc = codes(words(text))
     best: dict[int, int] = {}
-    for spec, hashes, item, pos in zip(index.specs, index.hashes, index.item, index.pos, strict=True):
-        at, h = fingerprints(doc, *spec)
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+    for spec in range(len(index.specs)):
         run_end: dict[tuple[int, int], int] = {}  # by item and diagonal, where the run of equal words extended last ends
-        for q in np.flatnonzero(hi > lo):
-            for r in range(lo[q], hi[q]):
-                k, i, j = int(item[r]), int(pos[r]), int(at[q])
-                if i < run_end.get((k, j - i), 0):  # from the same run of equal words the same stretches are reached
-                    continue
-                words_of = index.items[k]
-                if words_of[i] != doc[j] or best.get(k) == len(words_of):
-                    continue
-                right = doc[j : j + len(words_of) - i]
-                unequal = np.flatnonzero(words_of[i : i + len(right)] != right)
-                run_end[k, j - i] = i + (int(unequal[0]) if len(unequal) else len(right))
-                found = longest_stretch(words_of, doc[: j + 2 * len(words_of)], i, j, least_words(len(words_of)))
-                if found > best.get(k, 0):
-                    best[k] = found
+        for k, i, j in zip(*(x.tolist() for x in hits(index, doc, spec)), strict=True):
+            if i < run_end.get((k, j - i), 0):  # from the same run of equal words the same stretches are reached
+                continue
+            words_of = index.items[k]
+            if best.get(k) == len(words_of):
+                continue
+            right = doc[j : j + len(words_of) - i]
+            unequal = np.flatnonzero(words_of[i : i + len(right)] != right)
+            run_end[k, j - i] = i + (int(unequal[0]) if len(unequal) else len(right))
+            found = longest_stretch(words_of, doc[: j + 2 * len(words_of)], i, j, least_words(len(words_of)))
+            if found > best.get(k, 0):
+                best[k] = found
     return list(best.items())
 
 
@@ -187,11 +255,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     empty texts match nothing; repeated documents or items give one row; extra columns are not read.
 
     Documents are read once and never shuffled: the items' winnowed fingerprints are joined within each Arrow
-    batch by binary search, then each hit is extended over the document's words. Items are held BLOCK_ITEMS at a time
-    and further blocks are further passes, so memory has a bound.
+    batch by binary search, then each hit is extended over the document's words. An index holds BLOCK_CHARS characters of
+    items, a million sentences or so; further blocks are further passes, so memory has a bound.
     """
-    count = items.count()
-    blocks = max(1, -(-count // BLOCK_ITEMS))
+    size = items.agg(F.sum(F.length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
     source = spread(docs.select(F.col(doc_key).alias("_d"), F.col(text).alias("_t")))
     kind = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, words int, share double"
     found = None
