@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import clean_path
 from tidemark.session import spread
 
+#: White space and separators of Unicode (fixed values).
+_BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def canonical_changes(changes: DataFrame) -> DataFrame:
     """(path_key, op, old_key, at_us, seq): op without outer blanks and case, both paths cleaned; no events without at_ts, path or seq."""
-    op = F.lower(F.regexp_replace("op", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    op = F.lower(F.btrim(F.col("op"), F.lit(_BLANKS)))
     return spread(changes.select("op", "path", "old_path", "at_ts", "seq")).where("at_ts IS NOT NULL AND path IS NOT NULL AND seq IS NOT NULL").select(clean_path("path").alias("path_key"), op.alias("op"), clean_path("old_path").alias("old_key"), F.unix_micros(F.col("at_ts").cast("timestamp")).alias("at_us"), "seq")
 
 
