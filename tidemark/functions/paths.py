@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A path in clean spelling matches none of these: empty segment, dot segment, slash at the end.
-_UNCLEAN = r"//|(^|/)\.{1,2}(/|$)|.+/$"
+#: A segment of one or two dots.
+_DOTS = r"(?:^|/)\.{1,2}(?:/|$)"
 
 
 def clean_path(path: Column | str, lower: bool = False) -> Column:
     """Lexically cleaned path: one slash for several, ``.`` dropped, ``..`` resolved, none at the end.
 
     ``..`` at a root is dropped, before a relative start it stays; an empty path becomes ``.``; null stays null.
-    Clean paths, nearly all of them, pass a regular expression and are not taken apart.
+    Clean paths, nearly all of them, pass plain string tests and are not taken apart; a regular expression sees those with a dotted name only.
     """
     p = F.col(path) if isinstance(path, str) else path
     rooted = p.startswith("/")
@@ -27,9 +27,12 @@ def clean_path(path: Column | str, lower: bool = False) -> Column:
         )
         return F.when(part.isin("", "."), acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
 
-    parts = F.aggregate(F.split(p, "/", -1), F.expr("CAST(array() AS ARRAY<STRING>)"), step)
-    joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
-    cleaned = F.when(p.rlike(_UNCLEAN), F.when(joined == "", ".").otherwise(joined)).when(p == "", ".").otherwise(p)
+    def finish(acc: Column) -> Column:
+        return F.when(F.size(acc) > 0, F.concat(F.when(rooted, "/").otherwise(""), F.array_join(acc, "/"))).when(rooted, "/").otherwise(".")
+
+    folded = F.aggregate(F.split(p, "/", -1), F.expr("CAST(array() AS ARRAY<STRING>)"), step, finish)
+    unclean = p.contains("//") | (p.endswith("/") & (p != "/")) | ((p.contains("/.") | p.startswith(".")) & p.rlike(_DOTS))
+    cleaned = F.when(unclean, folded).when(p == "", ".").otherwise(p)
     return F.lower(cleaned) if lower else cleaned
 
 

@@ -90,7 +90,7 @@ def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     if name == "snap":
         return table(spark, d, "file_snapshots").select("root", clean_path("path").alias("path_key"), "size", "mtime_ns", "inode").distinct()
     if name == "changes":
-        op = F.lower(F.regexp_replace("op", r"^\s+|\s+$", ""))
+        op = F.lower(F.btrim(F.col("op"), F.lit(" \t\n\x0b\f\r")))
         return table(spark, d, "raw_changes").where("at_ts IS NOT NULL").select("root", op.alias("op"), clean_path("path").alias("path_key"), clean_path("old_path").alias("old_key"), F.unix_micros(F.col("at_ts").cast("timestamp")).alias("at_us"), "seq").distinct()
     if name == "vecs":
         from tidemark.operators.vectors import valid_vectors
