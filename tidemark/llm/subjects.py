@@ -32,7 +32,7 @@ SEED_ROWS = 20_000
 COMMON = 3
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_TOKENS = 50_000
+_TOKENS, _LONG = 50_000, 64
 
 
 def sentences(text: str | None) -> list[str]:
@@ -83,14 +83,18 @@ def _staged_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return staged(source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, ids array<int>, lens array<int>"), "terms")
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, ids, lens) of a batch's documents with any sentence; lists are views, not Python objects."""
+def _parts(b: pa.RecordBatch, tokens: int, docs: int = 1 << 30) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, lens, row of each id, row of each sentence) of some documents at a time: ``docs`` and about ``tokens`` at most, one document at least."""
     i, n = b.column("ids"), b.column("lens")
     io, no = i.offsets.to_numpy(), n.offsets.to_numpy()
     iv, nv = i.values.to_numpy(), n.values.to_numpy()
-    for r in range(b.num_rows):
-        if no[r + 1] > no[r]:
-            yield r, iv[io[r] : io[r + 1]], nv[no[r] : no[r + 1]]
+    first = 0
+    while first < b.num_rows:
+        last = min(max(first + 1, int(np.searchsorted(io, io[first] + tokens, "right")) - 1), first + docs, b.num_rows)
+        if no[last] > no[first]:
+            at = np.arange(first, last)
+            yield iv[io[first] : io[last]], nv[no[first] : no[last]], np.repeat(at, np.diff(io[first : last + 1])), np.repeat(at, np.diff(no[first : last + 1]))
+        first = last
 
 
 def _summed(terms: DataFrame, width: int, rows: int, collect: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
@@ -116,26 +120,18 @@ def _summed(terms: DataFrame, width: int, rows: int, collect: Callable[[Iterator
 
 def _documents(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(terms, matrix): blocks of documents as a dense matrix over the terms the block has, rows of length one."""
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def block() -> tuple[np.ndarray, np.ndarray]:
-        terms, at = np.unique(np.concatenate([t for t, _ in rows]), return_inverse=True)
-        m = np.zeros((len(rows), len(terms)), "f4")
-        m[np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]), at] = np.concatenate([v for _, v in rows])
-        return terms, m
-
     for b in batches:
-        for _, ids, _ in _parts(b):
-            t, n = np.unique(ids, return_counts=True)
-            v = (1 + np.log(n)) * idf[t]
-            size_v = np.linalg.norm(v)
-            if size_v:
-                rows.append((t[v > 0], (v / size_v)[v > 0]))
-            if len(rows) == size:
-                yield block()
-                rows = []
-    if rows:
-        yield block()
+        for ids, _, row, _ in _parts(b, 1 << 20, size):
+            pair, n = np.unique((row - row[0]) * len(idf) + ids, return_counts=True)
+            doc, term = np.divmod(pair, len(idf))
+            v = (1 + np.log(n)) * idf[term]
+            length = np.sqrt(np.bincount(doc, v * v))[doc]
+            some = v > 0
+            if some.any():
+                terms, at = np.unique(term[some], return_inverse=True)
+                m = np.zeros((doc[-1] + 1, len(terms)), "f4")
+                m[doc[some], at] = v[some] / length[some]
+                yield terms, m
 
 
 @contextmanager
@@ -159,18 +155,28 @@ class Model:
     owner: np.ndarray
     none: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}  # each task makes its own
+
     def embed(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Unit vectors of sentences."""
-        out = np.empty((len(lens), self.basis.shape[1]), "f4")
-        ends = np.cumsum(lens)
-        first = 0
-        while first < len(lens):  # a bounded number of tokens at a time
-            start = ends[first] - lens[first]
-            last = max(first + 1, int(np.searchsorted(ends, start + _TOKENS, "right")))
-            i = ids[start : ends[last - 1]]
-            out[first:last] = np.add.reduceat(self.basis[i] * self.weight[i, None], ends[first:last] - lens[first:last] - start)
-            first = last
-        return _unit(out)
+        table = self.__dict__.get("_table")
+        if table is None:
+            table = self.__dict__["_table"] = self.basis * self.weight[:, None]
+        start = np.cumsum(lens) - lens
+        order = np.argsort(-lens, kind="stable")
+        out = np.zeros((len(lens), self.basis.shape[1]), "f4")
+        # the p-th words of all sentences at once, longest sentences first; the rest of long ones by itself
+        longer = np.searchsorted(-lens[order], -np.arange(min(int(lens.max()), _LONG)), "left")
+        for p, k in enumerate(longer):
+            out[:k] += table[ids[start[order[:k]] + p]]
+        for r in range(int((lens > _LONG).sum())):
+            at = start[order[r]] + _LONG
+            for i in range(at, start[order[r]] + lens[order[r]], _TOKENS):
+                out[r] += table[ids[i : min(i + _TOKENS, start[order[r]] + lens[order[r]])]].sum(axis=0)
+        unit = np.empty_like(out)
+        unit[order] = _unit(out)
+        return unit
 
     def classify(self, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(vectors, best centroid, its cosine, lead over other subjects, cosine to sentences about none)."""
@@ -189,10 +195,8 @@ def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: i
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros((buckets + 1, 1))
         for b in batches:
-            for _, ids, lens in _parts(b):
-                n[:buckets, 0] += np.bincount(ids, minlength=buckets) if len(ids) > 2000 else 0
-                if len(ids) <= 2000:
-                    np.add.at(n[:, 0], ids, 1)
+            for ids, lens, _, _ in _parts(b, 1 << 20):
+                n[:buckets, 0] += np.bincount(ids, minlength=buckets)
                 n[buckets, 0] += len(lens)
         return n
 
@@ -253,16 +257,17 @@ def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: i
 
             def gather(batches: Iterator[pa.RecordBatch], shared=shared, near=0.35 if k == 0 else 0.6) -> np.ndarray:
                 m = shared.value
-                out = np.zeros((buckets, len(m.subjects) + 1), "f4")
+                width = len(m.subjects) + 1
+                out = np.zeros(buckets * width)
                 for b in batches:
-                    for i, n in _joined(b):
+                    for i, n, _, _ in _parts(b, _TOKENS):
                         _, best, top, _, none = m.classify(i, n)
                         about = (top > near) & (top > none)
                         cls = np.where(about, m.owner[best], len(m.subjects))
                         use = about | (none > 0.6)
                         at = np.repeat(use, n)
-                        np.add.at(out, (i[at], np.repeat(cls, n)[at]), 1)
-                return out
+                        out += np.bincount(i[at].astype("i8") * width + np.repeat(cls, n)[at], minlength=len(out))
+                return out.reshape(buckets, width)
 
             by_class = _summed(terms, len(subjects) + 1, buckets, gather)
         n = by_class.sum(axis=1)
@@ -277,19 +282,6 @@ def fit(terms: DataFrame, samples: list[tuple[str, str | None, str]], buckets: i
     return model
 
 
-def _joined(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sentences of several documents together, up to a bounded number of tokens (one long document may be more)."""
-    ids, lens, size = [], [], 0
-    for _, i, n in _parts(b):
-        ids.append(i), lens.append(n)
-        size += len(i)
-        if size > _TOKENS:
-            yield np.concatenate(ids), np.concatenate(lens)
-            ids, lens, size = [], [], 0
-    if ids:
-        yield np.concatenate(ids), np.concatenate(lens)
-
-
 def _recentred(terms: DataFrame, model: Model, seeded: np.ndarray) -> np.ndarray:
     """Centroids under the model's present weights, from all sentences near the seeds' ones."""
     start = Model(model.subjects, model.weight, model.basis, seeded, model.owner, model.none)
@@ -301,11 +293,10 @@ def _recentred(terms: DataFrame, model: Model, seeded: np.ndarray) -> np.ndarray
             m = shared.value
             out = np.zeros((len(m.centroids), dims))
             for b in batches:
-                for i, n in _joined(b):
+                for i, n, _, _ in _parts(b, _TOKENS):
                     u, best, top, _, none = m.classify(i, n)
                     about = (top > 0.35) & (top > none)
-                    for j in np.unique(best[about]):
-                        out[j] += u[about & (best == j)].sum(axis=0)
+                    out += ((best == np.arange(len(out))[:, None]) & about).astype("f4") @ u
             return out
 
         found = _summed(terms, dims, len(seeded), gather)
@@ -331,13 +322,16 @@ def assign(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            at, names, shares = [], [], []
-            for r, ids, lens in _parts(b):
+            at, who, shares = [], [], []
+            for ids, lens, _, row in _parts(b, _TOKENS):
                 _, best, top, lead, none = m.classify(ids, lens)
                 on = (top >= NEAR) & (lead >= LEAD) & (top > none)
-                n = np.bincount(m.owner[best[on]], minlength=len(m.subjects))
-                for s in np.flatnonzero((n > 0) & (n >= SHARE * n.sum())):
-                    at.append(r), names.append(m.subjects[s]), shares.append(float(n[s] / n.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], [key, "subject", "share"])
+                width = len(m.subjects)
+                n = np.bincount((row[on] - row[0]) * width + m.owner[best[on]], minlength=(row[-1] - row[0] + 1) * width).reshape(-1, width)
+                total = n.sum(axis=1, keepdims=True)
+                r, s = np.nonzero((n > 0) & (n >= SHARE * total))
+                at.append(r + row[0]), who.append(s), shares.append(n[r, s] / total[r, 0])
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), pa.array([m.subjects[s] for s in np.concatenate(who)], pa.string()), pa.array(np.concatenate(shares).astype("f8"))], [key, "subject", "share"])
 
     return terms.mapInArrow(run, kind)
