@@ -1,10 +1,10 @@
 """Differences between two copies of a dataset, found with invertible Bloom lookup tables.
 
-Each side is one row a key. Keys fall into buckets; each bucket has a small table of cells, and a
-row adds the XOR of its key hash and row hash to three of them. Subtracting one side's tables
-from the other's cancels all equal rows, so what is left can be peeled: a cell that
-holds one row gives its key, whose other cells then hold one less. Only the peeled keys are
-fetched from both sides and compared field by field. A bucket that doesn't peel is compared whole.
+Of each row only hashes of its key and of its fields travel. Keys fall into buckets; each bucket has a small table of cells, and
+a distinct row adds the XOR of its hashes to three of them. Subtracting one side's tables from the other's cancels all
+rows that both have, so what is left can be peeled: a cell that holds one row gives its key, whose other cells then hold one
+less. Only the peeled keys are fetched from the two sources and compared field by field. A bucket that doesn't
+peel is compared whole.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def differing_keys(both: DataFrame, buckets: int, cells: int) -> DataFrame:
     """(k1, k2, bucket, whole): hashes of keys whose rows differ or lie on one side only.
 
     ``whole`` rows have null hashes and name a bucket whose table could not be peeled.
-    ``both`` has ``side`` (1 or -1), ``k1``, ``k2``, ``rh``; one row for each side and key.
+    ``both`` has ``side`` (1 or -1), ``k1``, ``k2``, ``rh``, each row once.
     """
     third = max(1, math.ceil(cells / HASHES))
     cell = F.explode(F.array(*[F.lit(k * third) + F.pmod(F.xxhash64("k1", F.lit(k).cast("long")), F.lit(third)) for k in range(HASHES)])).alias("cell")
@@ -108,24 +108,26 @@ def diff_tables(left: DataFrame, right: DataFrame, key: str, fields: list[str],
     for which a bucket's table has room. Both set the cost only: a bucket with more differences than fit is
     compared whole.
     """
-    sides = []
-    for df, sign in ((left, 1), (right, -1)):
-        one = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*fields)).alias("_row"))
-        sides.append(one.withColumn("side", F.lit(sign).cast("long")))
     # xxhash64 skips nulls, so that (null, 1) and (1, null) would meet: the null flags are hashed as well
-    flags: list[Column] = [F.col(f"_row.{c}").isNull() for c in fields]
-    both = sides[0].unionByName(sides[1]).select("_key", "_row", "side", F.xxhash64("_key").alias("k1"), F.xxhash64(F.lit("second"), "_key").alias("k2"), F.xxhash64(*[F.col(f"_row.{c}") for c in fields], *flags).alias("rh"))
-    both = staged(both, "diff")
+    flags: list[Column] = [F.col(c).isNull() for c in fields]
+    k1, k2 = F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("second"), key).alias("k2")
+    sources = [df.where(F.col(key).isNotNull()).select(key, *fields) for df in (left, right)]
+    hashed = [df.select(F.lit(sign).cast("long").alias("side"), k1, k2, F.xxhash64(*fields, *flags).alias("rh")) for df, sign in zip(sources, (1, -1), strict=True)]
+    both = staged(hashed[0].unionByName(hashed[1]).distinct(), "diff")
     rows = both.count()
     buckets = max(1, math.ceil(rows / 2 / bucket_rows))
     cells = max(24, math.ceil(3.2 * diff_share * min(bucket_rows, rows)))
     keys = staged(differing_keys(both, buckets, cells), "keys")
-    exact = both.join(keys.where(~F.col("whole")).select("k1", "k2"), ["k1", "k2"], "left_semi").select("_key", "_row", "side")
-    whole = keys.where("whole").select("bucket")
-    if not whole.isEmpty():
-        again = both.withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int")).join(whole, "bucket", "left_semi").select("_key", "_row", "side")
-        exact = exact.unionByName(again)
-    met = exact.groupBy("_key").agg(F.max(F.when(F.col("side") == 1, F.col("_row"))).alias("l"), F.max(F.when(F.col("side") == -1, F.col("_row"))).alias("r"))
+    peeled, whole = keys.where(~F.col("whole")).select("k1", "k2"), keys.where("whole").select("bucket")
+    unpeeled = not whole.isEmpty()
+    sides = []
+    for df, side in zip(sources, ("l", "r"), strict=True):
+        df = df.select(F.col(key).alias("_key"), F.struct(*fields).alias("_row"), k1, k2)
+        some = df.join(peeled, ["k1", "k2"], "left_semi")
+        if unpeeled:
+            some = some.unionByName(df.withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int")).join(whole, "bucket", "left_semi").drop("bucket"))
+        sides.append(some.groupBy("_key").agg(F.max("_row").alias(side)))
+    met = sides[0].join(sides[1], "_key", "full")
     text = lambda side, c: F.col(f"{side}.{c}").cast("string")
     none = F.lit(None).cast("string")
     differing = F.filter(F.array(*[F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.struct(F.lit(c).alias("field"), text("l", c).alias("left_value"), text("r", c).alias("right_value"))) for c in fields]), lambda x: x.isNotNull())
