@@ -54,8 +54,8 @@ add(
 )
 add(
     "sample_hash_dups",
-    lambda v: v("files_c").where("sample_hash IS NOT NULL AND status <> 'deleted'").groupBy(F.substring(F.lower(F.hex("sample_hash")), 1, 3).alias("hash")).agg(F.count("*").alias("n"), F.min("file_id").alias("first_id")).where("n > 1"),
-    "SELECT substr(lower(hex(sample_hash)), 1, 3) AS hash, count(*) AS n, min(file_id) AS first_id FROM {files_c} WHERE sample_hash IS NOT NULL AND status <> 'deleted' GROUP BY ALL HAVING count(*) > 1",
+    lambda v: v("files_c").where("sample_hash IS NOT NULL AND status <> 'deleted'").groupBy(F.lower(F.hex("sample_hash")).alias("hash")).agg(F.count("*").alias("n"), F.min("file_id").alias("first_id")).where("n > 1"),
+    "SELECT lower(hex(sample_hash)) AS hash, count(*) AS n, min(file_id) AS first_id FROM {files_c} WHERE sample_hash IS NOT NULL AND status <> 'deleted' GROUP BY ALL HAVING count(*) > 1",
 )
 
 # upserts, fences, moves, deletes
@@ -107,11 +107,11 @@ add(
  a AS (SELECT * FROM {active_v} WHERE state <> 'done')
  SELECT * FROM d WHERE EXISTS (SELECT 1 FROM a WHERE a.path_key = d.path_key AND a.generation >= d.generation) OR (kind = 'remove' AND EXISTS (SELECT 1 FROM a WHERE a.op = 'relocate' AND a.old_path_key = d.path_key AND a.generation >= d.generation))""",
 )
-_ROOTS = "(SELECT DISTINCT root FROM {snap} UNION SELECT DISTINCT regexp_replace(path_key, '/[^/]*$', '') FROM {files_c} WHERE file_id % 9 = 0)"
+_ROOTS = "(SELECT DISTINCT root FROM {snap} UNION SELECT DISTINCT regexp_replace(path_key, '/[^/]*$', '') FROM {files_c})"
 
 
 def _roots(v):
-    return v("snap").select("root").union(v("files_c").where("file_id % 9 = 0").select(F.regexp_replace("path_key", "/[^/]*$", ""))).distinct()
+    return v("snap").select("root").union(v("files_c").select(F.regexp_replace("path_key", "/[^/]*$", ""))).distinct()
 
 
 _OVER = f"r AS {_ROOTS}, o AS (SELECT i.root, x.root AS outer_root FROM (SELECT root, unnest({_up('root')}) AS a FROM r) i JOIN r x ON x.root = i.a)"
@@ -137,11 +137,11 @@ add(
 )
 
 # directories
-_DIRS = "(SELECT DISTINCT regexp_replace(path_key, '/[^/]*$', '') AS directory, CAST(1 + length(path_key) % 3 AS INT) AS priority FROM {files_c} WHERE file_id % 5 = 0)"
+_DIRS = "(SELECT DISTINCT regexp_replace(path_key, '/[^/]*$', '') AS directory, CAST(1 + length(path_key) % 3 AS INT) AS priority FROM {files_c})"
 
 
 def _dirs(v):
-    return v("files_c").where("file_id % 5 = 0").select(F.regexp_replace("path_key", "/[^/]*$", "").alias("directory"), (1 + F.length("path_key") % 3).alias("priority")).distinct()
+    return v("files_c").select(F.regexp_replace("path_key", "/[^/]*$", "").alias("directory"), (1 + F.length("path_key") % 3).alias("priority")).distinct()
 
 
 _BELOW = f"p AS {_DIRS}, b AS (SELECT path_key, file_id, generation, unnest({_up('path_key')}) AS directory FROM {{files_c}} WHERE status <> 'deleted')"
@@ -153,9 +153,9 @@ add(
 )
 add(
     "scope_conflicts",
-    lambda v: directory.scope_conflicts(v("files_c").select(F.col("file_id").alias("task_id"), F.when(F.col("file_id") % 6 == 0, F.regexp_replace("path_key", "/[^/]*$", "")).otherwise(F.col("path_key")).alias("path"), (F.col("file_id") % 6 == 0).alias("is_dir")), v("files_c").where("file_id % 40 = 0").select(F.when(F.col("file_id") % 80 == 0, F.regexp_replace("path_key", "/[^/]*$", "")).otherwise(F.col("path_key")).alias("scope"), (F.col("file_id") % 80 == 0).alias("is_dir"))),
-    f"""WITH t AS (SELECT file_id AS task_id, CASE WHEN file_id % 6 = 0 THEN regexp_replace(path_key, '/[^/]*$', '') ELSE path_key END AS path, file_id % 6 = 0 AS is_dir FROM {{files_c}}),
- s AS (SELECT DISTINCT CASE WHEN file_id % 80 = 0 THEN regexp_replace(path_key, '/[^/]*$', '') ELSE path_key END AS scope, file_id % 80 = 0 AS is_dir FROM {{files_c}} WHERE file_id % 40 = 0),
+    lambda v: directory.scope_conflicts(v("files_c").select(F.col("file_id").alias("task_id"), F.when(F.col("file_id") % 60 == 0, F.regexp_replace("path_key", "/[^/]*$", "")).otherwise(F.col("path_key")).alias("path"), (F.col("file_id") % 60 == 0).alias("is_dir")), v("files_c").select(F.when(F.col("file_id") % 80 == 0, F.regexp_replace("path_key", "/[^/]*$", "")).otherwise(F.col("path_key")).alias("scope"), (F.col("file_id") % 80 == 0).alias("is_dir"))),
+    f"""WITH t AS (SELECT file_id AS task_id, CASE WHEN file_id % 60 = 0 THEN regexp_replace(path_key, '/[^/]*$', '') ELSE path_key END AS path, file_id % 60 = 0 AS is_dir FROM {{files_c}}),
+ s AS (SELECT DISTINCT CASE WHEN file_id % 80 = 0 THEN regexp_replace(path_key, '/[^/]*$', '') ELSE path_key END AS scope, file_id % 80 = 0 AS is_dir FROM {{files_c}}),
  tu AS (SELECT task_id, unnest({_up('path')}) AS a FROM t), su AS (SELECT scope, unnest({_up('scope')}) AS a FROM s)
  SELECT task_id, scope FROM t JOIN s ON t.path = s.scope UNION SELECT task_id, scope FROM tu JOIN s ON tu.a = s.scope AND s.is_dir UNION SELECT task_id, scope FROM su JOIN t ON su.a = t.path AND t.is_dir""",
 )
