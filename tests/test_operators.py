@@ -166,6 +166,68 @@ def test_window(spark, wanted, hits, incomplete):
     assert search.window_search(many, F.expr("file_id = 1400"), 20)[1] is True
 
 
+def test_stored_index(spark, rows, tmp_path):
+    """Scores read from a stored index are those of the documents; only the buckets of the terms are read."""
+    docs = spark.createDataFrame([(i, f"f{i % 3}.txt", f"/d/{i % 5}/f{i % 3}.txt", " ".join(f"w{(i * j) % 11}" for j in range(i % 9)) if i % 7 else None) for i in range(60)], "file_id bigint, filename string, path string, content string")
+    keyword.laid_out(keyword.index_rows(docs), 8).write.partitionBy("bucket").parquet(f"{tmp_path}/p")
+    stored = spark.read.parquet(f"{tmp_path}/p")
+    stats = {r["field"]: (r["docs"], r["terms"]) for r in keyword.field_stats(docs).collect()}
+    for query in (["w1"], ["w2", "f1", "d", "w2"], ["nowhere"], []):
+        got, want = (rows(x.select("file_id", F.round("score", 9))) for x in (keyword.scores(stored, stats, query, buckets=8), keyword.bm25(docs, query)))
+        assert got == want
+    assert rows(keyword.scores(stored, stats, ["f1"], keep=docs.where("file_id = 4"), buckets=8), "file_id") == [(4,)]
+    plan = keyword.lookup(stored, ["w1"], 8)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_hybrid_ranks_whole_lists(spark):
+    """Against ranks of all: a file far down one list keeps its share of it."""
+    import random
+
+    rng = random.Random(4)
+    a = [(i, float(rng.randrange(40))) for i in range(1, 600)]
+    b = [(i, float(rng.randrange(40))) for i in range(200, 900)]
+    schema = "file_id bigint, score double"
+    got = [(r.file_id, r.score, r.best_rank, r.sources) for r in search.hybrid(spark.createDataFrame(a + a[:9], schema), spark.createDataFrame(b, schema), 5).collect()]
+    ranks = [{i: at + 1 for at, (i, _) in enumerate(sorted(x, key=lambda r: (-r[1], r[0])))} for x in (a, b)]
+    want = sorted(((i, round(sum(1 / (60 + r[i]) for r in ranks if i in r), 9), min(r[i] for r in ranks if i in r), ",".join(n for n, r in zip(("content", "semantic"), ranks, strict=True) if i in r)) for i in {*ranks[0], *ranks[1]}), key=lambda x: (-x[1], x[2], x[0]))
+    assert got == want[:5]
+    assert search.hybrid(spark.createDataFrame([], schema), spark.createDataFrame([], schema), 5).count() == 0
+
+
+def test_sessions_without_a_fold(spark):
+    """Every sequence of up to five ops against the fold, also over the edges of slices."""
+    from itertools import product
+
+    events, want = [], []
+    for n, ops in enumerate(x for k in range(1, 6) for x in product(("created", "modified", "removed"), repeat=k)):
+        at = [1_000_000 + n % 700_000 + 400_000 * i for i in range(len(ops))]
+        events += [("/r", op, f"/r/{n}", None, t, i) for i, (op, t) in enumerate(zip(ops, at, strict=True))]
+        want += [(p, t, op) for op, p, _, t in debounce.fold([(op, f"/r/{n}", None, t) for op, t in zip(ops, at, strict=True)])]
+    df = spark.createDataFrame(events, "root string, op string, path_key string, old_key string, at_us bigint, seq bigint")
+    assert sorted(map(tuple, debounce.merge_same_path(df).collect())) == sorted(want)
+    short = debounce.bursts(df.select(F.col("path_key").alias("root"), "op", "at_us", "seq"), slice_us=500_000)
+    long = debounce.bursts(df.select(F.col("path_key").alias("root"), "op", "at_us", "seq"))
+    key = ["root", "at_us", "seq", "op", "burst", "before"]
+    assert sorted(map(tuple, short.select(key).collect()), key=repr) == sorted(map(tuple, long.select(key).collect()), key=repr)
+
+
+def test_same_content_by_the_whole_hash(spark, tmp_path):
+    """Files of one hash make a group; a shared start of the hash doesn't."""
+    from tidemark.plans import files as plans
+
+    f = [(1, "aa" * 16), (2, "aa" * 16), (3, "aa" * 15 + "ab"), (4, None)]
+    df = spark.createDataFrame(f, "file_id bigint, h string").select("file_id", F.unhex("h").alias("sample_hash"), F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("generation"))
+    df.write.parquet(f"{tmp_path}/files.parquet")
+    assert [(r["hash"], r["n"], r["first_id"]) for r in plans.BOOK.queries["sample_hash_dups"](spark, str(tmp_path)).collect()] == [("aa" * 16, 2, 1)]
+
+
+def test_roots_that_do_not_go_down(spark, rows):
+    df = spark.createDataFrame([("/a", False), ("/a/b", True), ("/a/b/c", True), ("/d", None), ("/d/e", False)], "root string, recursive boolean")
+    assert rows(reconcile.collapse_nested(df)) == [("/a",), ("/a/b",), ("/d",)]
+    assert rows(reconcile.collapse_nested(df.select("root"))) == [("/a",), ("/d",)]
+
+
 def test_keyword(spark, rows):
     d = spark.createDataFrame([(1, "a.md", "/docs/a.md", "reliable distributed search engine search"), (2, "b.md", "/docs/中文.md", "这是一个分布式非结构化索引引擎"), (3, "reliable.txt", "/x", None), (4, "", "", "")], "file_id bigint, filename string, path string, content string")
     assert rows(keyword.bm25(d, ["分布", "布式"]), "file_id") == [(2,)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import Engine, Request, Unavailable, parse
 from tidemark.functions import media
-from tidemark.operators import debounce, extract
+from tidemark.operators import debounce, extract, keyword
 from tidemark.operators.extract import Extractor
 from tidemark.sources import audit, config, content, walk
 from tidemark.sources.warehouse import Warehouse
@@ -164,7 +164,13 @@ def test_commit_stream(spark, tmp_path, rows):
     assert {r[2] for r in rows(house.read("postings"))} == {1, 2}
     pipeline.commit_batch(house, spark.createDataFrame([(3, "delete", 2, 1, None, None, None), (0, "upsert", 1, 0, "/x", 1, "indexed")], kind), 1, docs)
     assert rows(house.read("newest"), "file_id", "kind", "seq") == [(1, "upsert", 1), (2, "delete", 3)]
-    assert {r[2] for r in rows(house.read("postings"))} == {1}
+    assert {r[0] for r in rows(house.read("postings"), "file_id")} == {1}
+    stats = house.manifest()["meta"]["keyword"]
+    live = docs.where("file_id = 1")
+    assert {f: tuple(x) for f, x in stats.items()} == {r["field"]: (r["docs"], r["terms"]) for r in keyword.field_stats(live).collect()}
+    words = sorted({r.term for r in keyword.postings(live).collect()})
+    got, want = (rows(x.select("file_id", F.round("score", 9))) for x in (keyword.scores(house.read("postings"), stats, words), keyword.bm25(live, words)))
+    assert got == want and got
 
 
 def test_engine(spark, tmp_path):

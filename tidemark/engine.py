@@ -42,8 +42,29 @@ class Request:
 
 @dataclass
 class Response:
+    """Hits, best first; whether the semantic part was left out; whether more hits may exist than were looked at, which an exact search never leaves open."""
+
     hits: DataFrame
     degraded_semantic: bool = False
+    incomplete: bool = False
+
+    def problems(self, r: Request) -> list[str]:
+        """What is wrong with the collected hits, for a caller that trusts no back end: too many, repeated, out of order, unnamed, of no source."""
+        rows = self.hits.collect()
+        order = [(-h["score"], h["best_rank"], h["file_id"]) for h in rows]
+        out = []
+        if len(rows) > r.top_k:
+            out.append("more hits than asked for")
+        if len({h["file_id"] for h in rows}) < len(rows):
+            out.append("a file is named twice")
+        if order != sorted(order):
+            out.append("hits are out of order")
+        for h in rows:
+            if not h["path"] or h["file_id"] < 1 or not h["score"] > 0 or h["best_rank"] < 1:
+                out.append(f"hit {h['file_id']} is not valid")
+            if not h["sources"] or set(h["sources"].split(",")) - set(search.SOURCES):
+                out.append(f"hit {h['file_id']} has unknown sources")
+        return out
 
 
 def parse(args: list[str]) -> Request:
@@ -71,20 +92,24 @@ class Engine:
         self.house, self.embed, self.model = house, embed, model
 
     def search(self, r: Request) -> Response:
-        """Hits (file_id, score, best_rank, sources, path, kind, status, snippet), best first.
+        """Hits (file_id, score, best_rank, sources, path, kind, status, snippet, frame_idx, frame_ts_ms), best first.
 
-        Filters hold before ranks are given. Without an embedding, or with one of another model, hybrid answers from keywords and says so.
+        Filters hold before ranks are given, and both lists are ranked whole. Keywords are read from the stored index where there is one. The frame is the best one of a file that was found by its vectors. Without an embedding, or with one of another model, hybrid answers from keywords and says so.
         """
         if r.problems():
             raise ValueError("; ".join(r.problems()))
         at = self.house.manifest()  # one snapshot for all tables
         files = catalog.select(self.house.read("files", at), r.path_prefix, list(r.kinds) or None, r.mtime_from_ns, r.mtime_to_ns)
         docs = self.house.read("docs", at)
-        limit = max(4 * r.top_k, 200)
-        none = files.select("file_id", F.lit(0).alias("rank"), F.lit(0.0).alias("score")).where(F.lit(False))
+        none = files.select("file_id", F.lit(0.0).alias("score")).where(F.lit(False))
         words = [t for t in r.query.lower().split() if t]
-        kw = search.ranked(keyword.bm25(docs, words), search.eligible_keyword(files), limit) if r.mode != "semantic" else none
+        kw = none
+        if r.mode != "semantic":
+            stats = at["meta"].get("keyword")
+            scored = keyword.scores(self.house.read("postings", at), {f: tuple(x) for f, x in stats.items()}, words) if stats and "postings" in at["tables"] else keyword.bm25(docs, words)
+            kw = scored.join(search.eligible_keyword(files).select("file_id"), "file_id", "left_semi")
         sem, degraded = none, False
+        frames = none.select("file_id", F.lit(0).alias("frame_idx"), F.lit(0).cast("long").alias("frame_ts_ms"))
         if r.mode != "keyword":
             try:
                 if self.embed is None:
@@ -92,12 +117,13 @@ class Engine:
                 model, vector = self.embed(r.query)
                 if self.model and model != self.model:
                     raise Unavailable
-                sem = search.ranked(search.vector_scores(self.house.read("vectors", at), vector, model), search.eligible_semantic(files, model), limit)
+                near = search.best_frames(search.vector_scores(self.house.read("vectors", at), vector, model).join(search.eligible_semantic(files, model).select("file_id"), "file_id", "left_semi"))
+                sem, frames = near.select("file_id", "score"), near.select("file_id", "frame_idx", "frame_ts_ms")
             except Unavailable:
                 degraded = True
-        fused = search.fuse(kw, sem, r.top_k)
+        fused = search.hybrid(kw, sem, r.top_k).join(frames, "file_id", "left")
         shown = fused.join(files.select("file_id", F.col("path_key").alias("path"), "kind", "status"), "file_id").join(docs.select("file_id", "content"), "file_id", "left")
-        hits = shown.select("file_id", "score", "best_rank", "sources", "path", "kind", "status", snippet(F.coalesce("content", F.lit("")), F.col("status")).alias("snippet"))
+        hits = shown.select("file_id", "score", "best_rank", "sources", "path", "kind", "status", snippet(F.coalesce("content", F.lit("")), F.col("status")).alias("snippet"), "frame_idx", "frame_ts_ms")
         return Response(hits.orderBy(F.desc("score"), "best_rank", "file_id"), degraded)
 
     def adopt_model(self, model: str, dims: int) -> bool:

@@ -77,19 +77,20 @@ def fold(events: Iterable[tuple[str, str, str | None, int]], window: int = WINDO
 
 
 def bursts(changes: DataFrame, window: int = WINDOW_US, slice_us: int = 600_000_000) -> DataFrame:
-    """Changes with ``burst``: the time of the first event since the root was last quiet for a window.
+    """Changes with ``burst``: the time of the first event since the root was last quiet for a window; and ``before``, the op of the event before in the burst.
 
     Nothing pends over a quiet window, so bursts of a root are independent and a root with a third of all events is spread over
     many tasks. Gaps are found within slices of time; only one row a slice is needed across them.
     """
     c = changes.withColumn("_s", F.floor(F.col("at_us") / slice_us))
     inside = Window.partitionBy("root", "_s").orderBy("at_us", "seq")
-    edge = c.groupBy("root", "_s").agg(F.min("at_us").alias("_lo"), F.max("at_us").alias("_hi"))
+    edge = c.groupBy("root", "_s").agg(F.max(F.struct("at_us", "seq", "op")).alias("_hi"))
     over = Window.partitionBy("root").orderBy("_s")
     edge = edge.withColumn("_before", F.lag("_hi").over(over))
-    gap = F.col("at_us") - F.coalesce(F.lag("at_us").over(inside), F.col("_before"))
     c = c.join(edge.select("root", "_s", "_before"), ["root", "_s"])
-    c = c.withColumn("_gap", F.when(F.coalesce(gap >= window, F.lit(True)), F.col("at_us")))
+    c = c.withColumn("_before", F.coalesce(F.lag(F.struct("at_us", "seq", "op")).over(inside), F.col("_before")))
+    new = F.coalesce(F.col("at_us") - F.col("_before.at_us") >= window, F.lit(True))
+    c = c.withColumns({"_gap": F.when(new, F.col("at_us")), "before": F.when(~new, F.col("_before.op"))})
     c = c.withColumn("_start", F.last("_gap", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     tail = c.groupBy("root", "_s").agg(F.max("_gap").alias("_g"))
     tail = tail.withColumn("_carry", F.last("_g", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
@@ -140,8 +141,18 @@ def sessions(changes: DataFrame, window: int = WINDOW_US) -> DataFrame:
 
 
 def merge_same_path(changes: DataFrame, window: int = WINDOW_US) -> DataFrame:
-    """(path_key, at_us, op): the action each session of a path ends in, moves left out. The fold streams, so a session of any length fits."""
-    return debounce(_still(changes), window).select(F.col("path").alias("path_key"), "at_us", "op")
+    """(path_key, at_us, op): the action each session of a path ends in, moves left out.
+
+    What MERGE makes of a session needs no fold. A path that is created within it is as if nothing had been until it is removed again.
+    Once an event other than a creation meets nothing, at the start or after such a removal, the path was there
+    before, and from then on the last event alone decides: removed, or else modified. Otherwise the session ends in created, or in nothing.
+    """
+    b = bursts(_still(changes), window)
+    there = F.max((F.col("op") != "created") & (F.col("before").isNull() | (F.col("before") == "removed"))).alias("_there")
+    g = b.groupBy("path_key", "burst").agg(there, F.max(F.struct("at_us", "seq", "op")).alias("_last"))
+    gone = F.col("_last.op") == "removed"
+    op = F.when(F.col("_there"), F.when(gone, "removed").otherwise("modified")).when(~gone, "created")
+    return g.select("path_key", F.col("_last.at_us").alias("at_us"), op.alias("op")).where("op IS NOT NULL")
 
 
 def drop_directories(actions: DataFrame, files: DataFrame) -> DataFrame:

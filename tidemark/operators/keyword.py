@@ -20,10 +20,56 @@ def tokens(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFram
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
-    """(term, field, file_id, tf): the inverted index. Terms are counted per document before anything is shuffled by term."""
+    """(term, field, file_id, tf): the inverted index."""
+    return index_rows(docs, fields).drop("len")
+
+
+def index_rows(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
+    """(term, field, file_id, tf, len): the inverted index, with the number of words of the field. Terms are counted per document before anything is shuffled by term."""
     t = tokens(docs, fields)
-    each = reduce(DataFrame.unionByName, [t.select("file_id", F.lit(f).alias("field"), F.explode(f).alias("term")) for f in fields])
-    return each.groupBy("term", "field", "file_id").agg(F.count("*").cast("int").alias("tf"))
+    each = reduce(DataFrame.unionByName, [t.select("file_id", F.lit(f).alias("field"), F.size(f).alias("len"), F.explode(f).alias("term")) for f in fields])
+    return each.groupBy("term", "field", "file_id", "len").agg(F.count("*").cast("int").alias("tf")).select("term", "field", "file_id", "tf", "len")
+
+
+#: Partitions of a stored index by a hash of the term.
+BUCKETS = 64
+
+
+def laid_out(index: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Postings as they are stored: with ``bucket``, to be the partition column, and sorted by term, so that a query opens the buckets and row groups of its terms.
+
+    Rows are dealt out by ranges of (bucket, term, file), so a term that a third of all documents hold fills many tasks.
+    """
+    return index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartitionByRange("bucket", "term", "file_id").sortWithinPartitions("bucket", "term", "file_id")
+
+
+def lookup(stored: DataFrame, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings of some terms; the buckets are named in the plan, so that no other is read."""
+    if not terms:
+        return stored.where(F.lit(False))
+    spark = stored.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()
+    return stored.where(F.col("bucket").isin([r[0] for r in wanted]) & F.col("term").isin(terms))
+
+
+def scores(stored: DataFrame, stats: dict[str, tuple[int, int]], query: list[str], boosts: dict[str, float] | None = None, keep: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(file_id, score): what ``bm25`` gives, read from a stored index.
+
+    stats: by field the number of documents and of words in all of them, see ``field_stats``. ``keep`` has the file_ids that may be hits.
+    One pass over the postings of the query's terms for their frequencies, and one that adds up each document's score.
+    """
+    boosts = BOOSTS if boosts is None else boosts
+    own = lookup(stored, list(dict.fromkeys(query)), buckets).where(F.col("field").isin(list(boosts)))
+    df = {(r["field"], r["term"]): r["count"] for r in own.groupBy("field", "term").count().collect()}  # a row for each field and term asked for
+    part = F.lit(0.0)
+    for (field, term), n in df.items():
+        docs, words_ = stats[field]
+        idf = F.log(1 + (F.lit(docs) - n + 0.5) / (F.lit(n) + 0.5))
+        tf, mean = F.col("tf"), max(words_ / docs if docs else 0.0, 1e-9)
+        part = F.when((F.col("field") == field) & (F.col("term") == term), F.lit(boosts[field]) * (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(mean))))).otherwise(part)
+    if keep is not None:
+        own = own.join(keep.select("file_id").distinct(), "file_id", "left_semi")
+    return own.groupBy("file_id").agg(F.sum(part).alias("score"))
 
 
 def field_stats(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:

@@ -62,16 +62,16 @@ def counts(snapshot: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def overlaps(roots: DataFrame) -> DataFrame:
-    """(root, outer): roots that lie within another one, by an equi join on ancestors."""
-    r = roots.select(F.col("root")).distinct()
+    """(root, outer): roots that lie within another one, by an equi join on ancestors. With a column ``recursive``, one whose rows all say false covers nothing below it."""
+    deep = F.max(F.coalesce(F.col("recursive"), F.lit(True))) if "recursive" in roots.columns else F.max(F.lit(True))
+    r = roots.groupBy("root").agg(deep.alias("_deep"))
     inner = r.select("root", F.explode(ancestors(F.col("root"))).alias("outer"))
-    return inner.join(r.select(F.col("root").alias("outer")), "outer").select("root", "outer")
+    return inner.join(r.where("_deep").select(F.col("root").alias("outer")), "outer").select("root", "outer")
 
 
 def collapse_nested(roots: DataFrame) -> DataFrame:
     """Queued roots without those that another covers."""
-    r = roots.select("root").distinct()
-    return r.join(overlaps(r).select("root").distinct(), "root", "left_anti")
+    return roots.select("root").distinct().join(overlaps(roots).select("root").distinct(), "root", "left_anti")
 
 
 def trigger_priority(trigger: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.vectors import dot, norm
+from tidemark.session import staged
 
 RRF = 60
 SOURCES = ["content", "note", "semantic"]
@@ -56,13 +61,51 @@ def fuse(keyword: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
     return g.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "best_rank", "file_id").limit(k)
 
 
+def _ranks(listed: DataFrame, asked: list[tuple[int, float]]) -> dict[int, int]:
+    """The rank of each asked (file_id, score) in a list: one more than the rows with a better score, or with the same and a smaller id. One pass, no sort."""
+    if not asked:
+        return {}
+    ids, best = np.array([i for i, _ in asked]), np.array([s for _, s in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(ids), "i8")
+        for b in batches:
+            i, s = b.column("file_id").to_numpy(), b.column("score").to_numpy()
+            for at in range(0, len(i), 4096):
+                x, y = s[at : at + 4096, None], i[at : at + 4096, None]
+                n += ((x > best) | ((x == best) & (y < ids))).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)), pa.int32()), pa.array(n)], ["at", "n"])
+
+    before = listed.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    return {int(ids[r["at"]]): r["n"] + 1 for r in before}
+
+
+def hybrid(keyword: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
+    """(file_id, score, best_rank, sources): reciprocal rank fusion of two lists (file_id, score) of any length, ranked whole.
+
+    keyword and semantic hold what is eligible; of several rows of a file the best counts. A file that is beyond rank RRF + 2k in both lists
+    has less than the k best of one list, so only the files up to there, a bounded number, are fused; their ranks in the other list are
+    counted over all of it.
+    """
+    n = RRF + 2 * k + 1
+    lists = [staged(x.groupBy("file_id").agg(F.max("score").alias("score")), "list") for x in (keyword, semantic)]
+    tops = [[(r["file_id"], r["score"]) for r in x.orderBy(F.desc("score"), "file_id").limit(n).collect()] for x in lists]
+    ranks = [{i: at + 1 for at, (i, _) in enumerate(t)} for t in tops]
+    for own, other, listed in ((ranks[0], ranks[1], lists[0]), (ranks[1], ranks[0], lists[1])):
+        missing = sorted(set(other) - set(own))
+        if missing and len(own) == n:
+            rest = [(r["file_id"], r["score"]) for r in listed.where(F.col("file_id").isin(missing)).collect()]
+            own |= _ranks(listed, rest)
+    spark = keyword.sparkSession
+    both = [spark.createDataFrame(list(r.items()), "file_id bigint, rank int") for r in ranks]
+    return fuse(*both, k)
+
+
 def window_search(keyword: DataFrame, wanted: Column, k: int, hard: int = 1000) -> tuple[DataFrame, bool]:
     """Compatibility mode: looks at 4k candidates, then twice as many, up to ``hard``; (hits, incomplete).
 
     The ranked candidates are cut to ``hard`` + 1 once and written, so each step reads a bounded table.
     """
-    from tidemark.session import staged
-
     cut = staged(keyword.orderBy(F.desc("score"), "file_id").limit(hard + 1), "window")
     order = cut.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("score"), "file_id")))
     size, limit = cut.count(), 4 * k

@@ -117,10 +117,18 @@ def _top(source: str, k: int) -> str:
     return f"SELECT row_number() OVER (ORDER BY round(score, 6) DESC, file_id) AS rank, file_id, round(score, 6) AS score FROM {source} ORDER BY 1 LIMIT {k}"
 
 
-add("keyword_topk", lambda v: keyword.top(keyword.bm25(v("docs"), TERMS), 20), f"WITH {_bm25(keyword.BOOSTS, TERMS)} {_top('sc', 20)}")
+
+
+def _indexed(v, terms, boosts=None, keep=None):
+    """Scores from the index of the documents, which is built and stored when a table is first asked."""
+    stats = {r["field"]: (r["docs"], r["terms"]) for r in v("docs_stats").collect()}
+    return keyword.scores(v("docs_postings"), stats, terms, boosts, keep)
+
+
+add("keyword_topk", lambda v: keyword.top(_indexed(v, TERMS), 20), f"WITH {_bm25(keyword.BOOSTS, TERMS)} {_top('sc', 20)}")
 _FILTER = "p LIKE '/srv/%' AND status IN ('indexed', 'failed')"
-add("keyword_topk_filtered", lambda v: keyword.top(keyword.bm25(v("docs"), TERMS, keep=F.col("path").startswith("/srv/") & F.col("status").isin("indexed", "failed")), 20), f"WITH {_bm25(keyword.BOOSTS, TERMS)}, f AS (SELECT * FROM sc WHERE {_FILTER}) {_top('f', 20)}")
-add("keyword_filename_boost", lambda v: keyword.top(keyword.bm25(v("docs"), ["note", "memo"], {"filename": 2.0, "content": 1.0}), 50), f"WITH {_bm25({'filename': 2.0, 'content': 1.0}, ['note', 'memo'])} {_top('sc', 50)}")
+add("keyword_topk_filtered", lambda v: keyword.top(_indexed(v, TERMS, keep=v("docs").where(F.col("path").startswith("/srv/") & F.col("status").isin("indexed", "failed"))), 20), f"WITH {_bm25(keyword.BOOSTS, TERMS)}, f AS (SELECT * FROM sc WHERE {_FILTER}) {_top('f', 20)}")
+add("keyword_filename_boost", lambda v: keyword.top(_indexed(v, ["note", "memo"], {"filename": 2.0, "content": 1.0}), 50), f"WITH {_bm25({'filename': 2.0, 'content': 1.0}, ['note', 'memo'])} {_top('sc', 50)}")
 add(
     "postings_after_commit",
     lambda v: keyword.apply_commit(keyword.postings(v("docs"), ("filename",)), v("docs").withColumn("filename", F.upper("filename")), keyword.commit(v("results_v"), v("files_c"))).where("field = 'filename'"),
@@ -144,16 +152,16 @@ add("vector_topk_per_file", lambda v: search.best_frames(search.vector_scores(v(
 add("semantic_eligible", lambda v: search.eligible_semantic(v("files_c"), MODEL).select("file_id"), f"SELECT file_id FROM {{files_c}} WHERE status = 'indexed' AND embed_model_version = '{MODEL}'")
 
 
-def _hybrid(v, files, k=20, limit=200):
-    kw = search.ranked(keyword.bm25(v("docs"), TERMS).withColumn("score", F.round("score", 6)), search.eligible_keyword(files), limit)
-    vec = search.ranked(search.vector_scores(v("vecs"), _query(v), MODEL), search.eligible_semantic(files, MODEL), limit)
-    return search.fuse(kw, vec, k)
+def _hybrid(v, files, k=20):
+    kw = _indexed(v, TERMS).withColumn("score", F.round("score", 6)).join(search.eligible_keyword(files).select("file_id"), "file_id", "left_semi")
+    vec = search.vector_scores(v("vecs"), _query(v), MODEL).join(search.eligible_semantic(files, MODEL).select("file_id"), "file_id", "left_semi")
+    return search.hybrid(kw, vec, k)
 
 
 def _hyb(where: str) -> str:
     return f"""WITH {_bm25(keyword.BOOSTS, TERMS)}, {_VS}, ok AS (SELECT * FROM {{files_c}} WHERE {where}),
- k AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank FROM (SELECT file_id, max(round(score, 6)) AS score FROM sc WHERE file_id IN (SELECT file_id FROM ok WHERE status IN ('indexed', 'failed')) GROUP BY file_id) ORDER BY rank LIMIT 200),
- s AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank FROM (SELECT file_id, max(score) AS score FROM vs WHERE file_id IN (SELECT file_id FROM ok WHERE status = 'indexed' AND embed_model_version = '{MODEL}') GROUP BY file_id) ORDER BY rank LIMIT 200)
+ k AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank FROM (SELECT file_id, max(round(score, 6)) AS score FROM sc WHERE file_id IN (SELECT file_id FROM ok WHERE status IN ('indexed', 'failed')) GROUP BY file_id)),
+ s AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank FROM (SELECT file_id, max(score) AS score FROM vs WHERE file_id IN (SELECT file_id FROM ok WHERE status = 'indexed' AND embed_model_version = '{MODEL}') GROUP BY file_id))
  SELECT coalesce(k.file_id, s.file_id) AS file_id, round(coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 9) AS score, least(coalesce(k.rank, s.rank), coalesce(s.rank, k.rank)) AS best_rank,
  CASE WHEN s.rank IS NULL THEN 'content' WHEN k.rank IS NULL THEN 'semantic' ELSE 'content,semantic' END AS sources FROM k FULL JOIN s ON k.file_id = s.file_id ORDER BY score DESC, best_rank, file_id LIMIT 20"""
 
@@ -163,7 +171,7 @@ add("hybrid_rrf_filtered", lambda v: _hybrid(v, v("files_c").where(F.col("path_k
 
 
 def _window(v):
-    ranked = keyword.bm25(v("docs"), TERMS).withColumn("score", F.round("score", 6)).join(v("docs").select("file_id", "path"), "file_id")
+    ranked = _indexed(v, TERMS).withColumn("score", F.round("score", 6)).join(v("docs").select("file_id", "path"), "file_id")
     hits, incomplete = search.window_search(ranked, F.col("path").startswith("/data/"), 20)
     return hits.select("file_id", "score", F.lit(incomplete).alias("incomplete"))
 

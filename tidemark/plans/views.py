@@ -6,13 +6,18 @@ that Spark and DuckDB read alike. ``{name}`` stands for another view or table.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import clean_path
+from tidemark.operators import keyword
 from tidemark.operators.incremental import current_rows
+from tidemark.session import shared_dir
+from tidemark.sources.folder import Folder
 from tidemark.sources.tables import table
 
 NOW_MS = 1_700_002_000_000
@@ -81,8 +86,28 @@ def duck(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + (", " + body.lstrip()[5:] if body.lstrip().upper().startswith("WITH ") else "\n" + body)
 
 
+def _stored_index(spark: SparkSession, d: str) -> str:
+    """The folder of the keyword index of the documents in ``d``: ``postings`` by bucket and ``stats``.
+
+    It is built once for a state of the table, which the names, sizes and times of its files tell, and kept in the shared folder. Two that
+    build it at once write each to a folder of its own; the first to finish is the one that counts.
+    """
+    files = Folder(spark, d)
+    state = hashlib.sha256(repr(files.listing("text_docs.parquet")).encode()).hexdigest()[:24]
+    home = Folder(spark, f"{shared_dir(spark)}/tidemark/keyword-{state}")
+    if (named := home.read("BUILT")) is None:
+        docs, mine = current_rows(table(spark, d, "text_docs")), uuid.uuid4().hex
+        keyword.laid_out(keyword.index_rows(docs)).write.partitionBy("bucket").parquet(home.under(mine, "postings"))
+        keyword.field_stats(docs).write.parquet(home.under(mine, "stats"))
+        home.create("BUILT", mine)
+        named = home.read("BUILT")
+    return home.under(named)
+
+
 def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A view or table as a DataFrame."""
+    if name in ("docs_postings", "docs_stats"):
+        return spark.read.parquet(f"{_stored_index(spark, d)}/{name[5:]}")
     if name == "files_c":
         return current_rows(table(spark, d, "files"))
     if name == "docs":

@@ -19,11 +19,14 @@ class Folder:
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self._conf)
         self.path = self._fs.makeQualified(self._jvm.org.apache.hadoop.fs.Path(path)).toString()
-        self._fs.mkdirs(self._at(""))
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def make(self) -> None:
+        """Makes the folder, if it isn't there."""
+        self._fs.mkdirs(self._at(""))
+
     def under(self, *names: str) -> str:
         """The path of something in the folder."""
         return "/".join([self.path, *names])
@@ -35,6 +38,10 @@ class Folder:
             return []
         return sorted(n for s in self._fs.listStatus(at) if not (n := s.getPath().getName()).startswith("."))
 
+    def listing(self, name: str) -> list[tuple[str, int, int]]:
+        """(path, size, time) of a file, or of the files in a folder, sorted."""
+        return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in self._fs.listStatus(self._at(name)))
+
     def read(self, name: str) -> str | None:
         """A file's text; None if there is no such file."""
         try:

@@ -24,6 +24,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, Folder(spark, folder)
+        self.folder.make()
 
     def manifest(self) -> dict:
         """The current manifest; a damaged one is an error."""

@@ -21,13 +21,15 @@ def commit_batch(house: Warehouse, batch: DataFrame, epoch: int, docs: DataFrame
     if house.has("newest"):
         old = house.read("newest")
         last = old.unionByName(last).groupBy("file_id").agg(F.max(F.struct("generation", "seq", "kind", "path", "mtime_ns", "status")).alias("m")).select("file_id", "m.*")
-    tables = {"newest": last}
+    tables, meta = {"newest": last}, {"epoch": epoch}
     if docs is not None:
         touched = batch.select("file_id").distinct()
         live = last.where("kind = 'upsert'").join(touched, "file_id", "left_semi").select("file_id")
-        fresh = keyword.postings(docs.join(live, "file_id", "left_semi"))
-        tables["postings"] = house.read("postings").join(touched, "file_id", "left_anti").select(*fresh.columns).unionByName(fresh) if house.has("postings") else fresh
-    house.commit(tables, {"epoch": epoch})
+        fresh = keyword.index_rows(docs.join(live, "file_id", "left_semi"))
+        tables["postings"] = keyword.laid_out(house.read("postings").join(touched, "file_id", "left_anti").select(*fresh.columns).unionByName(fresh) if house.has("postings") else fresh)
+        indexed = docs.join(last.where("kind = 'upsert'").select("file_id"), "file_id", "left_semi")
+        meta["keyword"] = {r["field"]: [r["docs"], r["terms"]] for r in keyword.field_stats(indexed).collect()}
+    house.commit(tables, meta, by={"postings": ["bucket"]})
     return True
 
 
