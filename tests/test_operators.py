@@ -228,6 +228,50 @@ def test_roots_that_do_not_go_down(spark, rows):
     assert rows(reconcile.collapse_nested(df.select("root"))) == [("/a",), ("/d",)]
 
 
+TASK = "task_id bigint, path string, state string, priority int, attempts int, claim_attempt_charge int, generation bigint, next_attempt_at bigint"
+
+
+def test_scheduler(spark, rows, tmp_path):
+    """Claims are stored before the work; what the work says is stored after it; a task it says nothing of gives its claim back."""
+    from tidemark.sources.warehouse import Warehouse
+    from tidemark.streaming import scheduler
+
+    t = [(1, "/a", "pending", 2, 0, 1, 1, 0), (2, "/b", "retry_wait", 1, 1, 1, 1, 50), (3, "/b", "pending", 1, 0, 1, 2, 0), (4, "/c", "retry_wait", 1, 1, 1, 1, 500), (5, "/d", "waiting_dep", 3, 1, 0, 1, 0), (6, "/e", "in_flight", 1, 1, 1, 1, 0), (7, "/e", "pending", 1, 0, 1, 1, 0), (8, "/f", "pending", 9, 0, 1, 1, 0)]
+    house = Warehouse(spark, str(tmp_path))
+    house.commit({"tasks": spark.createDataFrame(t, TASK)})
+    seen = []
+
+    def work(claimed):
+        seen.append(sorted(r.task_id for r in claimed.collect()))
+        assert house.read("tasks").where(F.col("task_id").isin(seen[-1]) & (F.col("state") == "in_flight")).count() == len(seen[-1])
+        return claimed.where("task_id <> 1").selectExpr("task_id", "CASE task_id WHEN 3 THEN 'done' ELSE 'retry' END AS event").unionByName(spark.createDataFrame([(6, "done")], "task_id bigint, event string"))
+
+    assert scheduler.run(house, work, lambda: 100, lambda: False, limit=3) == 4
+    assert seen == [[1, 3, 5], [8]]  # the newer task of /b took its slot, /e is busy, /c isn't due
+    assert rows(house.read("tasks"), "task_id", "state", "attempts") == [(1, "retry_wait", 0), (3, "done", 1), (4, "retry_wait", 1), (5, "retry_wait", 2), (6, "in_flight", 1), (7, "pending", 0), (8, "retry_wait", 1)]
+
+
+def test_points_notes_and_text(spark, rows):
+    n = spark.createDataFrame([(4, 1, "file", None, None, "a", None)], "note_id bigint, file_id bigint, anchor_type string, anchor_line int, anchor_ts_ms bigint, content string, expire_at bigint")
+    new = spark.createDataFrame([(2, "line", 3, None, "b", None), (1, "file", None, None, "c", 9), (1, "line", None, None, "no line", 9), (1, "file", None, None, "", 9)], "file_id bigint, anchor_type string, anchor_line int, anchor_ts_ms bigint, content string, expire_at bigint")
+    more = notes.create(n, new)
+    assert rows(more, "note_id", "content") == [(4, "a"), (5, "c"), (6, "b")] and rows(notes.create(n, new.limit(0)), "note_id") == [(4,)]
+    changed = notes.update(more, spark.createDataFrame([(4, "x", 7), (5, "", 8), (99, "y", 1), (None, "z", 1)], "note_id bigint, content string, expire_at bigint"))
+    assert rows(changed, "note_id", "content", "expire_at") == [(4, "x", 7), (5, "c", 9), (6, "b", None)]
+    assert catalog.point(changed, "note", note_id=5)["content"] == "c"
+    with pytest.raises(catalog.NotFound):
+        catalog.point(changed, "note", note_id=77)
+    with pytest.raises(ValueError):
+        catalog.point(changed, "note", content="c")
+    from tidemark.functions.text import readable
+
+    data = [b"ok", b"a\xffb", b"\xe4\xbd", None, b""]
+    got = [r[0] for r in spark.createDataFrame([(bytearray(d) if d is not None else None,) for d in data], "d binary").select(readable(F.col("d"))).collect()]
+    assert got == [d.decode("utf-8", "replace") if d is not None else None for d in data]
+    chain = spark.createDataFrame([([("A", "x\"y"), ("B", "z")],), ([],), (None,)], "c array<struct<type:string,message:string>>").select(tasks.error_chain(F.col("c")))
+    assert [r[0] for r in chain.collect()] == ['[{"type":"A","message":"x\\"y"},{"type":"B","message":"z"}]', "[]", "[]"]
+
+
 def test_keyword(spark, rows):
     d = spark.createDataFrame([(1, "a.md", "/docs/a.md", "reliable distributed search engine search"), (2, "b.md", "/docs/中文.md", "这是一个分布式非结构化索引引擎"), (3, "reliable.txt", "/x", None), (4, "", "", "")], "file_id bigint, filename string, path string, content string")
     assert rows(keyword.bm25(d, ["分布", "布式"]), "file_id") == [(2,)]

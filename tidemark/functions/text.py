@@ -53,3 +53,8 @@ def text_file(path: Column) -> Column:
 def image_format(head_hex: Column) -> Column:
     """jpeg, png or gif by the magic bytes (upper-case hex); else null."""
     return F.when(head_hex.startswith("FFD8FF"), "jpeg").when(head_hex.startswith("89504E470D0A1A0A"), "png").when(head_hex.startswith("474946383761") | head_hex.startswith("474946383961"), "gif")
+
+
+def readable(data: Column) -> Column:
+    """Bytes as text, in which what is no UTF-8 is U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))

@@ -122,6 +122,39 @@ def lookup(files: DataFrame, file_id: int | None = None, path_key: str | None =
     return files.where(F.col("file_id") == file_id if file_id is not None else F.col("path_key") == path_key)
 
 
+class NotFound(LookupError):
+    """No row has the key asked for."""
+
+
+#: Keys that a row of each table is looked up by.
+KEYS = {"file": [["file_id"], ["path_key"]], "task": [["task_id"]], "dead letter": [["file_id"], ["task_id"]], "note": [["note_id"]], "vector": [["file_id", "frame_idx"]]}
+
+
+def point(table: DataFrame, what: str, **key) -> dict:
+    """The row with a key, as a dict; NotFound without one. Of several the largest stands. ``what`` and the names of the key must be among KEYS."""
+    if sorted(key) not in [sorted(k) for k in KEYS[what]]:
+        raise ValueError(f"a {what} isn't looked up by {sorted(key)}")
+    rows = table
+    for c, x in key.items():
+        rows = rows.where(F.col(c) == F.lit(x))
+    row = rows.orderBy(*[F.desc(c) for c, t in rows.dtypes if not t.startswith("map")]).limit(1).collect()
+    if not row:
+        raise NotFound(f"{what} {key}")
+    return row[0].asDict()
+
+
+#: Statuses that a finished task may leave a file in (fixed values).
+COMMITTED = ["indexed", "deleted"]
+
+
+def bump(files: DataFrame, wanted: DataFrame, by: str = "file_id") -> DataFrame:
+    """The catalog with the rows named by id or path key one generation on and pending; names without a row change nothing."""
+    hit = wanted.select(F.col(by).alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_hit", F.lit(True))
+    j = files.join(hit, F.col(by) == F.col("_k"), "left")
+    on = F.col("_hit").isNotNull()
+    return j.withColumns({"generation": F.when(on, F.col("generation") + 1).otherwise(F.col("generation")), "status": F.when(on, F.lit("pending")).otherwise(F.col("status"))}).select(*files.columns)
+
+
 def resolve(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """(task_id, found_id): a task's row by its file_id if it has one, else by the old path of a move, else by its path; null if missing."""
     by_id = files.select(F.col("file_id").alias("_i"))

@@ -54,3 +54,10 @@ def removal_fence(prefixes: DataFrame, files: DataFrame, tasks: DataFrame) -> Da
     early = below.where("state IN ('pending', 'in_flight')").join(files.select("path_key"), "path_key", "left_anti").groupBy("path_key").agg((F.max("generation") + 1).alias("generation")).withColumn("source", F.lit("queued"))
     parked = below.where("state IN ('retry_wait', 'waiting_dep')").groupBy("path_key").agg(F.max("generation").alias("generation")).withColumn("source", F.lit("superseded"))
     return rows.unionByName(early).unionByName(parked)
+
+
+def expansion_counts(expanded: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(matched, inserted, coalesced): rows of an expansion (path_key, generation); those whose path has an unfinished task join it."""
+    active = tasks.where(F.col("state").isin("pending", "in_flight", "retry_wait", "waiting_dep")).select("path_key").distinct().withColumn("_a", F.lit(1))
+    j = expanded.select("path_key").join(active, "path_key", "left")
+    return j.agg(F.count("*").alias("matched"), F.count_if(F.col("_a").isNull()).alias("inserted"), F.count_if(F.col("_a").isNotNull()).alias("coalesced"))

@@ -30,3 +30,21 @@ def invalid() -> Column:
     t, line, ts = F.col("anchor_type"), F.col("anchor_line"), F.col("anchor_ts_ms")
     good = ((t == "file") & line.isNull() & ts.isNull()) | ((t == "line") & (line >= 1) & ts.isNull()) | ((t == "timestamp") & (ts >= 0) & line.isNull())
     return F.when(F.col("content").isNull() | (F.col("content") == ""), "content").when(~F.coalesce(good, F.lit(False)), "anchor")
+
+
+def create(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """The notes with new ones (all columns but ``note_id``), numbered on from the largest id in the order of file and content; invalid ones are left out."""
+    from tidemark.operators.catalog import _numbered
+
+    good = new.where(invalid().isNull())
+    order = F.concat_ws("\x00", F.lpad(F.col("file_id").cast("string"), 20, "0"), F.col("content"), F.to_json(F.struct(*[c for c in new.columns])))
+    last = notes.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0]
+    return notes.unionByName(_numbered(good.withColumn("_o", order), "_o", last, "note_id").select(*notes.columns))
+
+
+def update(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """The notes with content and time to live of changes (note_id, content, expire_at); blank content and unknown ids change nothing. Of several the largest counts."""
+    best = changes.where("content <> ''").groupBy("note_id").agg(F.max(F.struct("content", "expire_at")).alias("_n"))
+    j = notes.join(best, "note_id", "left")
+    hit = F.col("_n").isNotNull()
+    return j.withColumns({"content": F.when(hit, F.col("_n.content")).otherwise(F.col("content")), "expire_at": F.when(hit, F.col("_n.expire_at")).otherwise(F.col("expire_at"))}).select(*notes.columns)

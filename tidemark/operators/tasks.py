@@ -153,6 +153,58 @@ def backoff_ms(attempt: Column, base_ms: int, cap_ms: int, u: Column | None = No
     return F.greatest(F.least(F.lit(float(base_ms)) * F.pow(F.lit(2.0), a.cast("double")), F.lit(float(cap_ms))) * (F.lit(0.8) + F.lit(0.4) * shake), F.lit(1.0))
 
 
+#: First and longest wait, in ms, before a watch is opened again and before a failed scan is repeated (fixed values).
+REOPEN_MS, RESCAN_MS = (5_000, 300_000), (1_000, 60_000)
+
+
+def step_ms(attempt: Column, first_ms: int, most_ms: int) -> Column:
+    """first * 2^attempt, at most ``most_ms``, in whole numbers and unshaken; null and negative attempts count as 0."""
+    a = F.least(F.greatest(F.coalesce(attempt, F.lit(0)), F.lit(0)), F.lit(30)).cast("int")
+    return F.least(F.lit(first_ms).cast("long") * F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(31)]), a + 1), F.lit(most_ms).cast("long"))
+
+
+def attempt_entry(attempt: Column, at_ms: Column, error_class: Column, error: Column) -> Column:
+    """One failed attempt as the JSON list that a history is made of; keys in order of their names."""
+    return F.to_json(F.array(F.struct(at_ms.alias("at_ms"), attempt.alias("attempt"), error_class.alias("class"), error.alias("error"))))
+
+
+def error_chain(chain: Column) -> Column:
+    """JSON of an error and its causes, an array of (type, message), outermost first; null and empty give an empty list."""
+    return F.coalesce(F.to_json(F.transform(chain, lambda e: F.struct(e["type"].alias("type"), e["message"].alias("message")))), F.lit("[]"))
+
+
+def active_by_path(tasks: DataFrame) -> DataFrame:
+    """(path, generation, pending, in_flight, parked): the active tasks of each path: largest generation, whether one waits or is in flight, and ids of parked ones.
+
+    A path has one slot a state, so ``parked`` has two ids at most: of several rows in a slot the smallest id stands.
+    """
+    s = F.col("state")
+    parked = F.array_compact(F.array(*[F.min(F.when(s == x, F.col("task_id"))) for x in ("retry_wait", "waiting_dep")]))
+    return tasks.where(s.isin(ACTIVE) & F.col("path").isNotNull()).groupBy("path").agg(F.max("generation").alias("generation"), F.bool_or(s == "pending").alias("pending"), F.bool_or(s == "in_flight").alias("in_flight"), F.array_sort(parked).alias("parked"))
+
+
+def tick(tasks: DataFrame, now_ms: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(tasks, claimed): one round of the scheduler: due retries and parked tasks come back to the pending slots of their paths, then the next ones are claimed."""
+    coming = ((F.col("state") == "retry_wait") & (F.col("next_attempt_at") <= now_ms)) | F.col("state").isin("waiting_dep", "pending")
+    kept = tasks.where(coming).join(release(tasks, now_ms).select("task_id").unionByName(tasks.where("state = 'pending'").join(tasks.where(coming & (F.col("state") != "pending")).select("path"), "path", "left_anti").select("task_id")).distinct(), "task_id", "left_semi")
+    after = tasks.where(~F.coalesce(coming, F.lit(False))).unionByName(kept.withColumn("state", F.lit("pending")).select(*tasks.columns))
+    claimed = claim(after, now_ms, limit).select(*tasks.columns)
+    return after.join(claimed.select("task_id"), "task_id", "left_anti").select(*tasks.columns).unionByName(claimed), claimed
+
+
+def settle(tasks: DataFrame, events: DataFrame, now_ms: int) -> DataFrame:
+    """The tasks after events (task_id, event) that the contract allows; the others change nothing. Of several events of a task the first by name counts.
+
+    A retry waits for its back-off, a claim given back for REFUND_MS.
+    """
+    one = events.groupBy("task_id").agg(F.min("event").alias("event"))
+    moved = transition(tasks, one).where("outcome = 'ok'").select("task_id", F.struct("state", "attempts", "claim_attempt_charge", "event").alias("_to"))
+    j = tasks.join(moved, "task_id", "left")
+    wait = F.when(F.col("_to.event") == "retry", backoff_ms(F.col("_to.attempts") - 1, 5000, 1_800_000)).when(F.col("_to.event") == "refund", F.lit(REFUND_MS))
+    changed = {c: F.coalesce(F.col(f"_to.{c}"), F.col(c)) for c in ("state", "attempts", "claim_attempt_charge")}
+    return j.withColumns(changed | {"next_attempt_at": F.coalesce(F.lit(now_ms) + wait.cast("long"), F.col("next_attempt_at"))}).select(*tasks.columns)
+
+
 def retry_allowed(error_class: Column, used: Column, most: int = 8) -> Column:
     return (error_class == "transient") & (used < most)
 

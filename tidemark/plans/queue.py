@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import extension
 from tidemark.functions.text import image_format, looks_binary, snippet
-from tidemark.operators import catalog, keyword, metrics, notes, reliability, tasks, vectors
+from tidemark.operators import catalog, directory, keyword, metrics, notes, reliability, tasks, vectors
 from tidemark.plans.book import Book
 from tidemark.plans.views import NOW_MS
 
@@ -255,3 +255,38 @@ add(
     lambda v: v("files_c").select("file_id", image_format(F.expr(_HEAD)).alias("format"), extension(F.col("path_key")).alias("ext")),
     "SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' END AS format, lower(regexp_extract(path_key, '(\\.[^./]+)$', 1)) AS ext FROM {files_c}",
 )
+
+
+# waits, histories, groups and counts
+add(
+    "watch_backoff",
+    lambda v: v("tasks_v").select("task_id", tasks.step_ms(F.col("attempts"), *tasks.REOPEN_MS).alias("reopen_ms"), tasks.step_ms(F.col("attempts") - 1, *tasks.RESCAN_MS).alias("rescan_ms")),
+    "SELECT task_id, least(5000::BIGINT << attempts, 300000) AS reopen_ms, least(1000::BIGINT << greatest(attempts - 1, 0), 60000) AS rescan_ms FROM {tasks_v}",
+)
+add(
+    "attempt_entries",
+    lambda v: v("tasks_v").select("task_id", tasks.attempt_entry(F.col("attempts"), F.col("next_attempt_at"), F.lit("transient"), F.col("path")).alias("entry")),
+    """SELECT task_id, '[{"at_ms":' || next_attempt_at || ',"attempt":' || attempts || ',"class":"transient","error":"' || path || '"}]' AS entry FROM {tasks_v}""",
+)
+add(
+    "active_by_path",
+    lambda v: tasks.active_by_path(v("tasks_v")).withColumn("parked", F.array_join(F.transform("parked", lambda x: x.cast("string")), ",")),
+    """SELECT path, max(generation) AS generation, bool_or(state = 'pending') AS pending, bool_or(state = 'in_flight') AS in_flight,
+ array_to_string(list_sort(list_filter([min(task_id) FILTER (state = 'retry_wait'), min(task_id) FILTER (state = 'waiting_dep')], lambda x: x IS NOT NULL)), ',') AS parked
+ FROM {tasks_v} WHERE state IN ('pending', 'in_flight', 'retry_wait', 'waiting_dep') GROUP BY path""",
+)
+add(
+    "expansion_counts",
+    lambda v: directory.expansion_counts(v("files_c").where("status <> 'deleted'").select("path_key", "generation"), v("active_v")),
+    "SELECT count(*) AS matched, count(*) FILTER (path_key NOT IN (SELECT path_key FROM {active_v} WHERE state <> 'done')) AS inserted, count(*) FILTER (path_key IN (SELECT path_key FROM {active_v} WHERE state <> 'done')) AS coalesced FROM {files_c} WHERE status <> 'deleted'",
+)
+add(
+    "generation_bump",
+    lambda v: catalog.bump(v("files_c"), v("run_log").select("file_id")).select("file_id", "generation", "status"),
+    "SELECT file_id, CASE WHEN file_id IN (SELECT file_id FROM run_log) THEN generation + 1 ELSE generation END AS generation, CASE WHEN file_id IN (SELECT file_id FROM run_log) THEN 'pending' ELSE status END AS status FROM {files_c}",
+)
+add(
+    "notes_updated",
+    lambda v: notes.update(v("notes_v"), v("notes_v").select("note_id", F.when(F.col("note_id") % 2 == 0, F.concat("content", F.lit("!"))).otherwise("").alias("content"), F.lit(5).cast("long").alias("expire_at"))).select("note_id", "content", "expire_at"),
+    "SELECT note_id, CASE WHEN note_id % 2 = 0 THEN content || '!' ELSE content END AS content, CASE WHEN note_id % 2 = 0 THEN 5 ELSE expire_at END AS expire_at FROM {notes_v}",
+)

@@ -17,17 +17,24 @@ OUT = "root string, op string, path string, old_path string, at_us bigint, due_u
 FLUSH = "flush"
 
 
-def debounced(changes: DataFrame, window: int = WINDOW_US) -> DataFrame:
+#: The op of an action that says events of the root were lost, so that it must be scanned again.
+DIRTY = "dirty"
+
+
+def debounced(changes: DataFrame, window: int = WINDOW_US, most: int = 100_000) -> DataFrame:
     """Actions of a stream of changes (root, op, path_key, old_key, at_us, seq).
 
     Within a micro-batch, events of a root are taken in the order (at_us, seq); an action leaves once an event of its root, or
     the processing-time alarm, shows that its deadline has passed. State holds pending changes only, so a quiet root costs nothing.
+    A root has ``most`` pending paths at most: what comes beyond them is dropped, and one DIRTY action a micro-batch says so; a
+    source's own overflow comes in as an event with op DIRTY.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         root = key[0]
         pending = Pending(window, {p: tuple(v) for p, v in json.loads(state.get[0]).items()} if state.exists else {})
         out: list[tuple] = []
+        lost = None
         if state.hasTimedOut:
             out += pending.due(None)
         else:
@@ -39,7 +46,12 @@ def debounced(changes: DataFrame, window: int = WINDOW_US) -> DataFrame:
                     out += pending.due(None)
                     continue
                 out += pending.due(int(at))
+                if op == DIRTY or len(pending.by_path) >= most and path not in pending.by_path:
+                    lost = int(at)
+                    continue
                 pending.add(op, path, old if isinstance(old, str) else None, int(at))
+        if lost is not None:
+            out.append((DIRTY, root, None, lost))
         if pending.by_path:
             state.update((json.dumps(pending.by_path),))
             state.setTimeoutDuration(max(1, window // 1000))
@@ -47,7 +59,7 @@ def debounced(changes: DataFrame, window: int = WINDOW_US) -> DataFrame:
             state.remove()
         yield pd.DataFrame([(root, op, p, old, at, at + window) for op, p, old, at in out], columns=["root", "op", "path", "old_path", "at_us", "due_us"])
 
-    good = changes.where(f"root IS NOT NULL AND at_us IS NOT NULL AND (op = '{FLUSH}' OR path_key IS NOT NULL AND (op IN ('created', 'modified', 'removed') OR op = 'move' AND old_key IS NOT NULL))")
+    good = changes.where(f"root IS NOT NULL AND at_us IS NOT NULL AND (op IN ('{FLUSH}', '{DIRTY}') OR path_key IS NOT NULL AND (op IN ('created', 'modified', 'removed') OR op = 'move' AND old_key IS NOT NULL))")
     return good.groupBy("root").applyInPandasWithState(step, OUT, "pending string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
