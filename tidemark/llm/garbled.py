@@ -249,11 +249,12 @@ def train(texts: list[str], rounds: int = 3, chains: list[tuple[str, str, int]]
             clean = [x for x in clean if not judge(model, x)]
         lines = clean if k == rounds - 1 else clean[:FIRST_LINES]
         everything = _counts(lines)
+        writable = {true: lines if true == "utf-8" else [x for x in lines if to_bytes(x, true) is not None] for true in {c[0] for c in chains if c[0] != c[1]}}
         ratio = np.empty((len(chains), 65536), "f4")
         for i, chain in enumerate(chains):
-            lossy = chain[0] == chain[1]
-            own = [x for x in lines if lossy or to_bytes(x, chain[0]) is not None]
-            before, after = _counts(own), _counts([garble(x, chain) for x in own])
+            own = writable[chain[0]] if chain[0] != chain[1] else lines
+            # no encoding takes a line's end for part of a character, so that lines can be garbled together
+            before, after = _counts(own), _counts([garble("\n".join(own[at : at + 500]), chain) for at in range(0, len(own), 500)])
             # rates for the same amount of text: what a chain leaves alone is no evidence, whatever else it does
             usual = np.maximum(before, everything * max(1, before.sum()) / max(1, everything.sum()))
             ratio[i] = np.log(after + 0.5) - np.log(usual + 0.5)
@@ -275,6 +276,15 @@ def _piece(text: str, start: int, end: int) -> tuple[int, int]:
     return a, a + len(data[start:end].decode("utf-8", "surrogatepass"))
 
 
+@cache
+def _begins(wrong: str) -> re.Pattern | None:
+    """What the first two bytes of a character in UTF-8 look like in a charset of single bytes; None for others."""
+    if wrong not in _SINGLE:
+        return None
+    one = _decoding(wrong)
+    return re.compile(f"[{re.escape(''.join(one[0xC2:0xF5]))}][{re.escape(''.join(one[0x80:0xC0]))}]")
+
+
 def _back(text: str, chain: tuple[str, str, int]) -> str:
     """The text with every part set right that the chain strictly inverts: a line, a word, a run beyond ASCII, or what the wrong encoding can write of it."""
     whole = invert(text, chain)
@@ -321,6 +331,8 @@ def findings(model: Model, text: str) -> Iterator[Finding]:
         elif chain[1] == "utf-8":
             continue
         elif chain[0] == "utf-8":
+            if (begins := _begins(chain[1])) and not begins.search(piece):
+                continue  # no character of UTF-8 begins in it
             fixed = _back(piece, chain)
             if model.sounder(fixed, piece, 0.4):  # valid UTF-8 is evidence of its own
                 yield Finding(chain, a, b, fixed)
