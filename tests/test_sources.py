@@ -3,6 +3,7 @@
 import json
 import os
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -150,9 +151,28 @@ def test_stream_is_batch(spark, tmp_path, rows):
     for i, e in enumerate([*events, ("/r", "flush", None, None, 9_000_000, 6), ("/s", "flush", None, None, 9_000_000, 7)]):
         (tmp_path / f"in/{i}.json").write_text(json.dumps(dict(zip(("root", "op", "path", "old_path", "at_us", "seq"), e, strict=True))))
     q = stream.debounced(stream.read_changes(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
     batch = debounce.debounce(spark.createDataFrame(events, "root string, op string, path_key string, old_key string, at_us bigint, seq bigint"))
-    assert rows(spark.table("debounced")) == rows(batch)
+    assert stopped(spark, q, "debounced", batch.count()) == rows(batch)
+
+
+def stopped(spark, q, table, n):
+    """Rows of a stream's table once there are ``n``; a stream with alarms never ends by itself."""
+    for _ in range(240):
+        if spark.table(table).count() >= n:
+            break
+        time.sleep(0.5)
+    q.stop()
+    return sorted(map(tuple, spark.table(table).collect()), key=repr)
+
+
+def test_overflow_makes_the_root_dirty(spark, tmp_path):
+    """With room for two paths the third is dropped and said to be; a source's own overflow is passed on."""
+    (tmp_path / "in").mkdir()
+    events = [("/r", "created", "/r/a", 0), ("/r", "created", "/r/b", 1), ("/r", "created", "/r/c", 2), ("/r", "modified", "/r/a", 3), ("/s", "dirty", None, 5), ("/r", "flush", None, 9)]
+    (tmp_path / "in/0.json").write_text("\n".join(json.dumps({"root": r, "op": op, "path": p, "at_us": t, "seq": t}) for r, op, p, t in events))
+    q = stream.debounced(stream.read_changes(spark, str(tmp_path / "in")), most=2).writeStream.format("memory").queryName("bounded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    got = stopped(spark, q, "bounded", 4)
+    assert [(r[0], r[1], r[2]) for r in got] == [("/r", "created", "/r/a"), ("/r", "created", "/r/b"), ("/r", "dirty", "/r"), ("/s", "dirty", "/s")]
 
 
 def test_commit_stream(spark, tmp_path, rows):
