@@ -147,3 +147,22 @@ def test_search_recall(spark, data):
         got.setdefault(r.query, set()).add(r.nbr)
     share, asked = recall(reps, got)
     assert asked >= 5 and share >= 0.9
+
+
+def test_nothing_known_is_sent(spark, data, monkeypatch):
+    """A round sends what its receivers don't know yet, each entry once a group: little is left of it when the lists settle."""
+    from pyspark.sql import functions as F
+
+    sf, sent = data.replace("0.001", "0.01"), []
+    stage = neighbours.staged
+
+    def counted(df, name="stage"):
+        out = stage(df, name)
+        if name == "fresh":
+            sent.append(out.select(F.sum(F.length("sims"))).first()[0] / 4)
+        return out
+
+    monkeypatch.setattr(neighbours, "staged", counted)
+    graph, _, _ = neighbours.build_graph(spark.read.parquet(f"{sf}/vectors.parquet"), spark.read.parquet(f"{sf}/embed_model_contracts.parquet"))
+    entries = graph.select(F.sum(F.size("nbrs"))).first()[0]
+    assert len(sent) > 1 and 0 < sent[-1] < 0.25 * entries and sent[-1] < 0.25 * sent[0]

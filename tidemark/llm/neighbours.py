@@ -29,8 +29,26 @@ INTRODUCED, NAMED, SENT = 10, 5, 8
 ROUNDS, SETTLED = 8, 0.03
 #: What cosines of 8-bit integers, and those of 16-bit floats, may be wrong by.
 COARSE, DOUBT = 1e-2, 1e-3
-#: A list is two binary values, of 64-bit keys and 32-bit cosines, which Spark moves without looking inside.
-_LIST = "m int, key bigint, b0 bigint, b1 bigint, b2 bigint, small binary, ids binary, sims binary"
+#: Vectors of a group of cells about, which a task works through at once; vectors of a packed row at most.
+GROUP, PACK = 8000, 4096
+#: The block of a vector in a partition of which nothing is known yet.
+_NOWHERE = -(1 << 63)
+
+
+def _schema(numbers: str, arrays: str) -> pa.Schema:
+    kinds = {"part": pa.int32(), "m": pa.int32()}
+    return pa.schema([(c, kinds.get(c, pa.int64())) for c in numbers.split()] + [(c, pa.binary()) for c in arrays.split()])
+
+
+#: Rows are packed: a row has the vectors or lists of many keys, as binary values which Spark moves without looking inside.
+_LISTS = _schema("part m entries gained", "keys homes small lens ids sims")
+_ASKS = _schema("part m", "host member block")
+_WANTS = _schema("part m", "member block small worst lens known")
+_PARCELS = _schema("m grp", "keys small worst lens known slot block")
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'bigint'}).get(f.type, 'binary')}" for f in schema)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -52,24 +70,6 @@ def _lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(_offsets(lens)), pa.array(values, kind))
 
 
-def _packed(values: np.ndarray, lens: np.ndarray, kind: str) -> pa.Array:
-    """Lists of numbers as a binary column."""
-    v = np.ascontiguousarray(values.astype(kind))
-    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(_offsets(lens, v.itemsize).tobytes()), pa.py_buffer(v.tobytes())])
-
-
-def _unpacked(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, values) of a binary column of numbers."""
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    width = np.dtype(kind).itemsize
-    if not len(c):
-        return np.zeros(0, "i8"), np.zeros(0, kind)
-    off = np.frombuffer(c.buffers()[1], "i4")[c.offset : c.offset + len(c) + 1]
-    if off[-1] == off[0]:
-        return np.zeros(len(c), "i8"), np.zeros(0, kind)
-    return np.diff(off).astype("i8") // width, np.frombuffer(c.buffers()[2], kind, count=(off[-1] - off[0]) // width, offset=int(off[0]))
-
-
 def unit_vectors(vectors: DataFrame, contracts: DataFrame) -> DataFrame:
     """(m, key, vec): model number, ``file_id << 16 | frame_idx`` and unit vector of every valid row.
 
@@ -103,8 +103,8 @@ def unit_vectors(vectors: DataFrame, contracts: DataFrame) -> DataFrame:
     return spread(source).mapInArrow(run, "m int, key bigint, vec binary")
 
 
-def _pivots(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(pivots, planes) of each model.
+def _pivots(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pivots, planes, groups of the pivots) of each model; groups of all models are numbered through.
 
     Pivots come from spherical k-means on a bounded sample, of which each model has an equal part or all its rows, so that dense
     regions get more of them. Where cells would be larger than CELL, random planes through each pivot halve them.
@@ -116,21 +116,24 @@ def _pivots(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     chance = F.element_at(F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, int(min(1.0, part / n) * (1 << 20)) + 1)]), F.col("m"))
     drawn = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < chance).select("m", "key", "vec").orderBy(F.xxhash64("key")).limit(2 * SAMPLE).toArrow()
     m = drawn.column("m").to_numpy()
-    out = {}
+    out, made = {}, 0
     for model, n in counts.items():
         x = _matrix(drawn.filter(pa.array(m == model)).column("vec"))
         if not len(x):  # hardly any row of a small model: one cell at no place
             x = _matrix(reps.where(F.col("m") == model).select("vec").limit(1).toArrow().column("vec"))
         c = max(1, min(PIVOTS, n // CELL, len(x)))
-        p = x[:c].copy()
+        p, share = x[:c].copy(), np.ones(c)
         for _ in range(3 if c > 1 else 0):
             near = np.concatenate([(x[i : i + 4096] @ p.T).argmax(axis=1) for i in range(0, len(x), 4096)])
             order = np.argsort(near, kind="stable")
             seen, first = np.unique(near[order], return_index=True)
             total = np.add.reduceat(x[order], first)
             p[seen] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+            share = np.bincount(near, minlength=c)
         halvings = max(0, int(np.ceil(np.log2(n / (2 * c * CELL)))))
-        out[model] = p, np.random.default_rng(model).standard_normal((p.shape[1], halvings)).astype("f4")
+        groups = made + _bisected(p, np.random.default_rng(model), GROUP, share * (n / share.sum()))
+        out[model] = p, np.random.default_rng(model).standard_normal((p.shape[1], halvings)).astype("f4"), groups
+        made = int(groups.max()) + 1
     return out
 
 
@@ -160,12 +163,12 @@ def _directions(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _bisected(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A number of a block for each vector: halves along a random direction of large variance, until no block exceeds BLOCK."""
+def _bisected(x: np.ndarray, rng: np.random.Generator, most: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """A number of a block for each vector: halves along a random direction of large variance, until no block of several exceeds ``most``, by weight."""
     block, todo, made = np.zeros(len(x), "i8"), [np.arange(len(x))], 0
     while todo:
         at = todo.pop()
-        if len(at) <= BLOCK:
+        if len(at) == 1 or (len(at) if weight is None else weight[at].sum()) <= most:
             block[at] = made
             made += 1
             continue
@@ -179,31 +182,94 @@ def _bisected(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return block
 
 
-def _better(x: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, columns, cosines) of the at most k nearest others of each vector that beat its ``worst``."""
-    n = len(x)
+def _hashed(ids: np.ndarray, turn: int = 0) -> np.ndarray:
+    """64 bits of a hash of each id, another one each turn."""
+    h = (ids.astype("i8").view("u8") ^ np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(29))
+
+
+def _marks(ids: np.ndarray, turn: int) -> np.ndarray:
+    """16 bits that stand for each id this turn."""
+    return (_hashed(ids, turn) >> np.uint64(48)).astype("u2")
+
+
+def _better(x: np.ndarray, worst: np.ndarray, k: int, marks: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, columns, cosines) of the at most k nearest others of each vector that beat its ``worst`` and, by their ``marks``, aren't in its row of ``known``."""
+    n, most = len(x), k + (0 if known is None else known.shape[1])
     lens, cols, sims = np.zeros(n, "i8"), [], []
     for i in range(0, n, 1024):
         s = x[i : i + 1024] @ x.T
         r = np.arange(len(s))
         s[r, r + i] = -2
         ok = s > worst[i : i + 1024, None]
-        many = np.flatnonzero(ok.sum(axis=1) > k)
+        many = np.flatnonzero(ok.sum(axis=1) > most)
         if len(many):
-            at = np.argpartition(s[many], n - k, axis=1)[:, -k:]
+            at = np.argpartition(s[many], n - most, axis=1)[:, -most:]
             ok[many] = False
             ok[many[:, None], at] = True
         at, c = np.nonzero(ok)
+        if known is not None:
+            fresh = (known[i + at] != marks[c, None]).all(axis=1)
+            at, c = at[fresh], c[fresh]
+            o = np.lexsort((-s[at, c], at))
+            o = o[np.arange(len(o)) - np.searchsorted(at, at) < k]  # ``at`` is in order
+            at, c = at[o], c[o]
         lens[i : i + 1024] = np.bincount(at, minlength=len(s))
         cols.append(c), sims.append(s[at, c])
     return lens, np.concatenate(cols), np.concatenate(sims)
 
 
-def _first_lists(reps: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The start of the graph: one row for each vector and partition, with its block there and the nearest ones of that block; and a staged table to drop.
+def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The partition in which each key's list is kept."""
+    return (_hashed(keys) >> np.uint64(33)).astype("i8") % parts
+
+
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, places of its keys)."""
+    part = _parts(keys, parts)
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(at):
+            yield int(part[at[0]]), at
+
+
+def _row(**values: int | np.ndarray | None) -> dict:
+    return {k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in values.items()}
+
+
+def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema)
+
+
+def _number(value: bytes | None, kind: str) -> np.ndarray:
+    return np.frombuffer(value or b"", kind)
+
+
+def _by_model(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """(model, its packed rows) of a partition."""
+    own: dict[int, list[dict]] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            own.setdefault(r["m"], []).append(r)
+    yield from sorted(own.items())
+
+
+def _nearest(lens: np.ndarray, n: int) -> np.ndarray:
+    """Whether each entry of the lists is among the first n of its list."""
+    return np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) < n
+
+
+def _lens(r: dict) -> np.ndarray:
+    return _number(r["lens"], "u2").astype("i8")
+
+
+def _first_lists(reps: DataFrame, k: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The start of the graph: for each vector and partition into blocks its block there and the nearest ones of that block, packed; and a staged table to drop.
 
     A vector goes to the cells of its PARTS nearest pivots, and the blocks are cut out of cells. A cell of more than CROWD
     vectors (near copies that no plane parts) is dealt out by a hash, so that no task gets more; the descent joins it up again.
+    A block's number begins with that of its group: of the cells of some pivots near each other, or what was dealt of a crowded cell.
     """
     shared = reps.sparkSession.sparkContext.broadcast(_pivots(reps))
 
@@ -213,22 +279,27 @@ def _first_lists(reps: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             m = b.column("m").to_numpy()
             for model in np.unique(m):
                 own = b.filter(pa.array(m == model))
-                x, (p, planes) = _matrix(own.column("vec")), pivots[int(model)]
+                x, (p, planes, groups) = _matrix(own.column("vec")), pivots[int(model)]
                 near = np.concatenate([_top(x[i : i + 2048] @ p.T, PARTS) for i in range(0, len(x), 2048)]).astype("i8")
                 small = _binary(_small(x).view("u1"))
+                wide = max(0, planes.shape[1] - 2)  # of a pivot with many cells each four make a group
                 for part in range(PARTS):
                     c = near[:, min(part, near.shape[1] - 1)]
                     side = ((x - p[c]) @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype="i8"))
-                    yield pa.RecordBatch.from_arrays([own.column("m"), pa.array(np.full(len(x), part, "i4")), pa.array((c << planes.shape[1]) + side), own.column("key"), small], ["m", "part", "cell", "key", "small"])
+                    group = ((groups[c] << wide) + (side >> (planes.shape[1] - wide))) * PARTS + part
+                    yield pa.RecordBatch.from_arrays([own.column("m"), pa.array(np.full(len(x), part, "i4")), pa.array(group), pa.array((c << planes.shape[1]) + side), own.column("key"), small], ["m", "part", "grp", "cell", "key", "small"])
 
-    placed = staged(reps.mapInArrow(cells, "m int, part int, cell bigint, key bigint, small binary"), "cells")
+    placed = staged(reps.mapInArrow(cells, "m int, part int, grp bigint, cell bigint, key bigint, small binary"), "cells")
     crowds = placed.groupBy("m", "part", "cell").count().where(F.col("count") > CROWD).select("m", "part", "cell", F.ceil(F.col("count") / CROWD).alias("deals"))
-    dealt = placed.join(crowds, ["m", "part", "cell"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "part"), F.col("deals")), F.lit(0))).drop("deals")
+    dealt = placed.join(crowds, ["m", "part", "cell"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "part"), F.col("deals")), F.lit(0)))
+    number = F.xxhash64("m", "part", "cell", "deal")
+    group = F.pmod(F.when(F.col("deals").isNull(), F.col("grp")).otherwise(number), F.lit(1 << 23))
+    dealt = dealt.withColumn("base", F.shiftleft(group, 40).bitwiseOR(F.shiftleft(F.pmod(number, F.lit(1 << 24)), 16))).drop("deals", "grp")
 
     def inside(t: pa.Table) -> pa.Table:
-        part, keys, x = t.column("part")[0].as_py(), t.column("key").to_numpy(), _directions(t.column("small"))
-        base = t.column("base")[0].as_py() & ~0xFFFF
-        block = _bisected(x, np.random.default_rng(part))
+        m, part, keys, x = t.column("m")[0].as_py(), t.column("part")[0].as_py(), t.column("key").to_numpy(), _directions(t.column("small"))
+        base = t.column("base")[0].as_py()
+        block = _bisected(x, np.random.default_rng(part), BLOCK)
         order = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[order], np.arange(block.max() + 2))
         lens, ids, sims = [], [], []
@@ -236,93 +307,166 @@ def _first_lists(reps: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             own = order[i:j]
             n, c, s = _better(x[own], np.full(len(own), -2, "f4"), k)
             lens.append(n), ids.append(keys[own[c]]), sims.append(s)
-        lens = np.concatenate(lens)
-        homes = [pa.array(base | block[order] if part == q else np.full(len(x), -(1 << 63)), pa.int64()) for q in range(3)]
-        t = t.take(pa.array(order))
-        return pa.Table.from_arrays([t.column("m"), t.column("key"), *homes, t.column("small") if part == 0 else pa.nulls(len(x), pa.binary()), _packed(np.concatenate(ids), lens, "i8"), _packed(np.concatenate(sims), lens, "f4")], ["m", "key", "b0", "b1", "b2", "small", "ids", "sims"])
+        keys, lens, ids, sims = keys[order], np.concatenate(lens), np.concatenate(ids), np.concatenate(sims)
+        homes = np.full((len(keys), PARTS), _NOWHERE)
+        homes[:, part] = base | block[order]
+        small = np.stack([np.frombuffer(v, "i1") for v in t.column("small").take(pa.array(order)).to_pylist()]) if part == 0 else None
+        who = np.repeat(np.arange(len(keys)), lens)
+        rows = []
+        for to, at in _dealt(keys, parts):
+            mine = np.isin(who, at) if len(at) < len(keys) else np.ones(len(who), bool)
+            at = np.sort(at)
+            rows.append(_row(part=to, m=m, keys=keys[at], homes=homes[at], small=None if small is None else small[at], lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
+        return _table(rows, _LISTS)
 
-    return dealt.withColumn("base", F.xxhash64("m", "part", "cell", "deal")).groupBy("m", "part", "cell", "deal").applyInArrow(inside, _LIST), placed
+    return dealt.groupBy("m", "part", "cell", "deal").applyInArrow(inside, _ddl(_LISTS)), placed
 
 
-def _merged(lists: DataFrame, k: int, introduced: int) -> DataFrame:
-    """One list for each key from all its lists: each neighbour once, the k nearest, ties by key.
+def _merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
+    """One list for each key from all its lists: each neighbour once, the k nearest, ties by a hash of the neighbour.
 
-    ``near`` has the ``introduced`` nearest, ``worst`` the cosine to beat, ``gained`` counts entries of rows marked new.
+    ``entries`` counts what the lists hold, ``gained`` what of it came from rows without homes, which are those of a round.
     """
 
-    def best(cols, lens, ids, sims):
-        m, key, homes, small, new = cols["m"], cols["key"], cols["homes"], cols["small"], cols["new"]
-        at, who = np.repeat(np.arange(len(key)), lens), np.repeat(key, lens)
-        o = np.lexsort((np.repeat(new, lens), ids, who))  # an entry known before goes before the same one anew
-        keep = np.ones(len(o), bool)
-        keep[1:] = (who[o][1:] != who[o][:-1]) | (ids[o][1:] != ids[o][:-1])
-        o = o[keep]
-        o = o[np.lexsort((ids[o], -sims[o], who[o]))]
-        w = who[o]
-        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
-        rank = np.arange(len(w)) - np.repeat(start, np.diff(np.append(start, len(w))))
-        o = o[rank < k]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # of each key its row with the vector
-        uniq = key[first]
-        n = np.zeros(len(uniq), "i8")
-        np.add.at(n, np.searchsorted(uniq, who[o]), 1)
-        gained = np.zeros(len(uniq), "i4")
-        np.add.at(gained, np.searchsorted(uniq, who[o]), new[at[o]])
-        homes = np.maximum.reduceat(homes, first, axis=0)
-        last = np.cumsum(n) - 1
-        worst = np.where(n < k, -2, sims[o][np.maximum(last, 0)] if len(o) else -2).astype("f4")
-        brought = np.arange(len(o)) - np.repeat(last + 1 - n, n) < introduced
-        near = _lists(ids[o][brought], np.minimum(n, introduced), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(uniq), *[pa.array(homes[:, q]) for q in range(3)], small.take(pa.array(first)), _packed(ids[o], n, "i8"), _packed(sims[o], n, "f4"), near, pa.array(worst), pa.array(n.astype("i4")), pa.array(gained)], ["m", "key", "b0", "b1", "b2", "small", "ids", "sims", "near", "worst", "n", "gained"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            if not len(t):
-                continue
-            key = t.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
-            held = t.slice(last)
-            if last:
-                yield merge(t.slice(0, last))
-        if held is not None and len(held):
-            yield merge(held)
-
-    def merge(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        lens, ids = _unpacked(t.column("ids"), "i8")
-        _, sims = _unpacked(t.column("sims"), "f4")
-        small = t.column("small")
-        cols = {"m": t.column("m").to_numpy(), "key": t.column("key").to_numpy(), "homes": np.stack([t.column(f"b{q}").to_numpy() for q in range(3)], axis=1), "small": small.combine_chunks() if isinstance(small, pa.ChunkedArray) else small, "new": t.column("new").to_numpy().astype("i4")}
-        return best(cols, lens, ids, sims)
-
-    return lists.repartition("key").sortWithinPartitions("key", F.col("small").isNull()).mapInArrow(run, _LIST + ", near array<bigint>, worst float, n int, gained int")
-
-
-def _introductions(graph: DataFrame, home: str) -> DataFrame:
+        for m, rows in _by_model(batches):
+            part = rows[0]["part"]
+            rows.sort(key=lambda r: not r["homes"])
+            held = [_number(r["keys"], "i8") for r in rows]
+            uniq, inv = np.unique(np.concatenate(held), return_inverse=True)
+            lens = np.concatenate([_lens(r) for r in rows])
+            new = np.repeat(np.repeat([not r["homes"] for r in rows], [len(x) for x in held]), lens)
+            ids, sims = np.concatenate([_number(r["ids"], "i8") for r in rows]), np.concatenate([_number(r["sims"], "f4") for r in rows])
+            homes, small, at = np.full((len(uniq), PARTS), _NOWHERE), None, 0
+            for r, own in zip(rows, held, strict=True):
+                to, at = inv[at : at + len(own)], at + len(own)
+                if r["homes"]:
+                    homes[to] = np.maximum(homes[to], _number(r["homes"], "i8").reshape(-1, PARTS))
+                if r["small"]:
+                    x = _number(r["small"], "i1").reshape(len(own), -1)
+                    small = np.zeros((len(uniq), x.shape[1]), "i1") if small is None else small
+                    small[to] = x
+            who = np.repeat(inv, lens)
+            o = np.lexsort((new, ids, who)) if len(uniq) >> 24 else np.argsort((who.astype("u8") << np.uint64(40)) | (_hashed(ids) >> np.uint64(25) << np.uint64(1)) | new.astype("u8"), kind="stable")
+            keep = np.ones(len(o), bool)  # an entry known before goes before the same one anew
+            keep[1:] = (who[o][1:] != who[o][:-1]) | (ids[o][1:] != ids[o][:-1])
+            o = o[keep]
+            bits = sims[o].view("u4")
+            o = o[np.argsort((who[o].astype("u8") << np.uint64(32)) | np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF)), kind="stable")]
+            n = np.bincount(who[o], minlength=len(uniq))
+            o = o[_nearest(n, k)]
+            n = np.minimum(n, k)
+            gained = np.bincount(who[o], new[o], len(uniq))
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for i in range(0, len(uniq), PACK):
+                j = min(i + PACK, len(uniq))
+                own = o[ends[i] : ends[j]]
+                yield _table([_row(part=part, m=m, keys=uniq[i:j], homes=homes[i:j], small=small[i:j], lens=n[i:j].astype("u2"), ids=ids[own], sims=sims[own], entries=len(own), gained=int(gained[i:j].sum()))], _LISTS).to_batches()[0]
+
+    return lists.repartitionById(parts, "part").mapInArrow(run, _ddl(_LISTS))
+
+
+def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduced: int) -> DataFrame:
     """New list entries: all that the hosts of a block gather are compared to each other.
 
-    A host brings itself, its ``near`` neighbours and, of the vectors that name it among theirs, NAMED at most by a
+    A host brings itself, its ``introduced`` nearest and, of the vectors that name it among theirs, NAMED at most by a
     hash, as the descent's sampling; so a block never has more than BLOCK times that. Of what a vector meets in one block the
-    SENT best go on; the next rounds bring the others, if they are still better than what it has by then.
+    SENT best that it doesn't know yet go on; the next rounds bring the others, if they are still better than what it has by then.
+    A vector travels once to all blocks of a group, with the marks of those in its list. One candidate in some 4,000 has
+    the mark of another by chance and is held back; as marks change each turn, the next round brings it.
     """
-    near = graph.select("key", home, F.explode("near").alias("nbr"))
-    named = near.select(F.col("nbr").alias("host"), F.col("key").alias("member")).withColumn("_r", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("member", "host")))).where(F.col("_r") <= NAMED)
-    named = named.join(graph.select(F.col("key").alias("host"), F.col(home).alias("block")), "host").select("member", "block")
-    want = near.select(F.col("nbr").alias("member"), F.col(home).alias("block")).unionByName(graph.select(F.col("key").alias("member"), F.col(home).alias("block"))).unionByName(named)
-    met = want.repartition("member").distinct().join(graph.select("m", F.col("key").alias("member"), "small", "worst"), "member")
+    q = turn % PARTS
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each neighbour: who names it, and that one's block."""
+        for m, rows in _by_model(batches):
+            for i in range(0, len(rows), 64):
+                some = rows[i : i + 64]
+                keys, homes = np.concatenate([_number(r["keys"], "i8") for r in some]), np.concatenate([_number(r["homes"], "i8").reshape(-1, PARTS)[:, q] for r in some])
+                lens = np.concatenate([_lens(r) for r in some])
+                brought = _nearest(lens, introduced)
+                nbr, who = np.concatenate([_number(r["ids"], "i8") for r in some])[brought], np.repeat(np.arange(len(keys)), np.minimum(lens, introduced))
+                out = [_row(part=to, m=m, host=keys[at], member=None, block=homes[at]) for to, at in _dealt(keys, parts)]
+                out += [_row(part=to, m=m, host=nbr[at], member=keys[who[at]], block=homes[who[at]]) for to, at in _dealt(nbr, parts)]
+                yield from _table(out, _ASKS).to_batches()
+
+    def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(member, block): the hosts themselves, their neighbours, and some that name them."""
+        for m, rows in _by_model(batches):
+            joined = lambda name, some: np.concatenate([np.zeros(0, "i8"), *[_number(r[name], "i8") for r in some]])
+            own, edges = [r for r in rows if not r["member"]], [r for r in rows if r["member"]]
+            keys, homes = joined("host", own), joined("block", own)
+            o = np.argsort(keys)
+            keys, homes = keys[o], homes[o]
+            nbr, member, block = (joined(c, edges) for c in ("host", "member", "block"))
+            host = np.searchsorted(keys, nbr)
+            o = np.lexsort((_hashed(member ^ nbr * 31), host))
+            o = o[_nearest(np.bincount(host, minlength=len(keys)), NAMED)]
+            to, at = np.concatenate([keys, nbr, member[o]]), np.concatenate([homes, block, homes[host[o]]])
+            yield from _table([_row(part=p, m=m, member=to[a], block=at[a]) for p, a in _dealt(to, parts)], _WANTS).to_batches()
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                lens, sims = _lens(r), _number(r["sims"], "f4")
+                worst = np.full(len(lens), -2, "f4")
+                worst[lens == held] = sims[np.cumsum(lens)[lens == held] - 1]
+                known = np.zeros((len(lens), held), "u2")
+                known[np.arange(held) < lens[:, None]] = _marks(_number(r["ids"], "i8"), turn)
+                rows.append(_row(part=r["part"], m=r["m"], member=r["keys"], block=None, small=r["small"], worst=worst, lens=lens.astype("u2"), known=known))
+            yield from _table(rows, _WANTS).to_batches()
+
+    def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each group: the vectors that its blocks want, and which block wants which."""
+        for m, rows in _by_model(batches):
+            own = [r for r in rows if r["small"]]
+            keys = np.concatenate([_number(r["member"], "i8") for r in own])
+            small = np.concatenate([_number(r["small"], "u1") for r in own]).reshape(len(keys), -1)
+            worst, lens, known = np.concatenate([_number(r["worst"], "f4") for r in own]), np.concatenate([_number(r["lens"], "u2") for r in own]), np.concatenate([_number(r["known"], "u2") for r in own]).reshape(-1, held)
+            order = np.argsort(keys)
+            member, block = (np.concatenate([_number(r[c], "i8") for r in rows if r["block"]]) for c in ("member", "block"))
+            blocks, block = np.unique(block, return_inverse=True)
+            pairs = np.unique((block.astype("i8") << 32) | np.searchsorted(keys[order], member))
+            block, at = pairs >> 32, pairs & 0xFFFFFFFF
+            group = blocks[block] >> 40
+            for i, j in zip(ends := np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]), ends[1:], strict=False):
+                mine, slot = np.unique(at[i:j], return_inverse=True)
+                mine = order[mine]
+                yield from _table([_row(m=m, grp=int(group[i]), keys=keys[mine], small=small[mine], worst=worst[mine], lens=lens[mine], known=known[mine], slot=slot.astype("i4"), block=blocks[block[i:j]])], _PARCELS).to_batches()
 
     def inside(t: pa.Table) -> pa.Table:
-        keys = t.column("member").to_numpy()
-        lens, c, s = _better(_directions(t.column("small")), t.column("worst").to_numpy(), SENT)
-        some = np.flatnonzero(lens)
-        t = t.take(pa.array(some))
-        return pa.Table.from_arrays([t.column("m"), t.column("member"), _packed(keys[c], lens[some], "i8"), _packed(s, lens[some], "f4")], ["m", "key", "ids", "sims"])
-
-    found = met.select("m", "block", "member", "small", "worst").groupBy("m", "block").applyInArrow(inside, "m int, key bigint, ids binary, sims binary")
-    return found
+        rows = t.to_pylist()
+        m, keys = rows[0]["m"], [_number(r["keys"], "i8") for r in rows]
+        first = np.cumsum([0, *[len(x) for x in keys]])
+        keys = np.concatenate(keys)
+        x = np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1).astype("f4")
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        worst, lens = np.concatenate([_number(r["worst"], "f4") for r in rows]), np.concatenate([_lens(r) for r in rows])
+        known = np.where(np.arange(held) < lens[:, None], np.concatenate([_number(r["known"], "u2") for r in rows]).reshape(-1, held).astype("i4"), -1)
+        marks = _marks(keys, turn).astype("i4")
+        slot, block = np.concatenate([_number(r["slot"], "i4") + f for r, f in zip(rows, first, strict=False)]), np.concatenate([_number(r["block"], "i8") for r in rows])
+        o = np.argsort(block, kind="stable")
+        slot, block = slot[o], block[o]
+        met, sims = [], []
+        for own in np.split(slot, np.flatnonzero(np.diff(block)) + 1):
+            n, c, s = _better(x[own], worst[own], SENT, marks[own], known[own])
+            met.append((np.repeat(own, n).astype("i8") << 32) | own[c]), sims.append(s)
+        met, at = np.unique(np.concatenate(met), return_index=True)
+        sims, who, ids = np.concatenate(sims)[at], met >> 32, keys[met & 0xFFFFFFFF]
+        some, who = np.unique(who, return_inverse=True)
+        lens, rows = np.bincount(who, minlength=len(some)), []
+        part = np.full(len(some), -1)
+        for to, at in _dealt(keys[some], parts):
+            part[at] = to
+        for to in np.unique(part):
+            at, mine = part == to, part[who] == to
+            rows.append(_row(part=int(to), m=m, keys=keys[some[at]], homes=None, small=None, lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
+        return _table(rows, _LISTS)
+
+    wanted = graph.select("part", "m", "keys", "homes", "lens", "ids").mapInArrow(asks, _ddl(_ASKS)).repartitionById(parts, "part").mapInArrow(wants, _ddl(_WANTS))
+    sent = wanted.unionByName(graph.select("part", "m", "keys", "small", "lens", "ids", "sims").mapInArrow(bodies, _ddl(_WANTS))).repartitionById(parts, "part").mapInArrow(parcels, _ddl(_PARCELS))
+    return sent.groupBy("m", "grp").applyInArrow(inside, _ddl(_LISTS))
 
 
 def classes(base: DataFrame) -> DataFrame:
@@ -337,28 +481,28 @@ def build_graph(vectors: DataFrame, contracts: DataFrame, k: int = K, rounds: in
     folder, of which each is deleted once the next stands. ``rounds=0`` leaves the lists of the blocks they start with. Cosines are
     those of 8-bit integers, see COARSE.
     """
-    held = max(k, HELD)
+    held, parts = max(k, HELD), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = unit_vectors(vectors, contracts)
     reps = staged(classes(base), "classes")
-    first, placed = _first_lists(reps, held)
-    lists = ["m", "key", "b0", "b1", "b2", "small", "ids", "sims", "new"]
-    old = staged(_merged(first.withColumn("new", F.lit(0)), held, introduced), "graph")
+    first, placed = _first_lists(reps, held, parts)
+    old = staged(_merged(first, held, parts), "graph")
     _drop(placed)
     for r in range(rounds):
-        fresh = staged(_introductions(old, f"b{r % PARTS}"), "fresh")
-        graph = staged(_merged(old.withColumn("new", F.lit(0)).select(lists).unionByName(fresh.withColumns({f"b{q}": F.lit(-(1 << 63)).cast("long") for q in range(PARTS)} | {"small": F.lit(None).cast("binary"), "new": F.lit(1)})), held, introduced), "graph")
+        fresh = staged(_introductions(old, r, parts, held, introduced), "fresh")
+        graph = staged(_merged(old.unionByName(fresh), held, parts), "graph")
         _drop(old), _drop(fresh)
         old = graph
-        renewed, entries = old.select(F.sum("gained"), F.sum("n")).first()
+        renewed, entries = old.select(F.sum("gained"), F.sum("entries")).first()
         if (renewed or 0) <= SETTLED * (entries or 0):
             break
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (lens, ids), (_, sims) = _unpacked(b.column("ids"), "i8"), _unpacked(b.column("sims"), "f4")
-            yield pa.RecordBatch.from_arrays([b.column("m"), b.column("key"), _lists(ids, lens, pa.int64()), _lists(sims, lens, pa.float32())], ["m", "key", "nbrs", "sims"])
+            for r in b.to_pylist():
+                keys, lens = _number(r["keys"], "i8"), _lens(r)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["m"], "i4")), pa.array(keys), _lists(_number(r["ids"], "i8"), lens, pa.int64()), _lists(_number(r["sims"], "f4"), lens, pa.float32())], ["m", "key", "nbrs", "sims"])
 
-    return old.select("m", "key", "ids", "sims").mapInArrow(opened, "m int, key bigint, nbrs array<bigint>, sims array<float>"), reps, base
+    return old.select("m", "keys", "lens", "ids", "sims").mapInArrow(opened, "m int, key bigint, nbrs array<bigint>, sims array<float>"), reps, base
 
 
 def _drop(df: DataFrame) -> None:
