@@ -3,7 +3,8 @@
 Rows whose unit vectors agree as 16-bit floats form a class and are searched once. Each class belongs to a few small blocks of
 nearby classes, one in each of PARTS partitions of the table, and starts with the nearest of its blocks, which is a poor list.
 Rounds of descent then better all lists: the hosts of a block gather their neighbours and those they are a neighbour of, and all
-that a block has gathered are introduced to each other. A gathered vector travels once a block, not once a host, as 8-bit integers.
+that a block has gathered are introduced to each other, save those that know each other. A gathered vector travels once to the
+blocks of a group, not once a host, as 8-bit integers.
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ INTRODUCED, NAMED, SENT = 10, 5, 8
 ROUNDS, SETTLED = 8, 0.03
 #: What cosines of 8-bit integers, and those of 16-bit floats, may be wrong by.
 COARSE, DOUBT = 1e-2, 1e-3
-#: Vectors of a group of cells about, which a task works through at once; vectors of a packed row at most.
-GROUP, PACK = 8000, 4096
-#: The block of a vector in a partition of which nothing is known yet.
-_NOWHERE = -(1 << 63)
+#: Vectors of a group of cells about, which a task works through at once; vectors of a packed row at most, and those compared to a block at a time.
+GROUP, PACK, STEP = 8000, 4096, 256
+#: The block of a vector in a partition of which nothing is known yet; numbers of groups, which lead the 40 bits of cell and block.
+_NOWHERE, _GROUPS = -(1 << 63), 1 << 23
 
 
 def _schema(numbers: str, arrays: str) -> pa.Schema:
-    kinds = {"part": pa.int32(), "m": pa.int32()}
+    kinds = {c: pa.int32() for c in ("part", "m", "deal", "n")}
     return pa.schema([(c, kinds.get(c, pa.int64())) for c in numbers.split()] + [(c, pa.binary()) for c in arrays.split()])
 
 
 #: Rows are packed: a row has the vectors or lists of many keys, as binary values which Spark moves without looking inside.
+_CELLS = _schema("part m grp cell deal n", "keys small")
 _LISTS = _schema("part m entries gained", "keys homes small lens ids sims")
 _ASKS = _schema("part m", "host member block")
 _WANTS = _schema("part m", "member block small worst lens known")
@@ -144,22 +146,14 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of a matrix of bytes as a binary column."""
-    n, w = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * w, w, dtype="i4").tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-
-
 def _small(x: np.ndarray) -> np.ndarray:
     """Vectors as 8-bit integers, each by its own scale: what is left of their direction is true to about a thousandth of the cosine."""
     return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))).astype("i1")
 
 
-def _directions(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _directions(small: np.ndarray) -> np.ndarray:
     """Rows of 8-bit integers as unit vectors."""
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    off = np.frombuffer(c.buffers()[1], "i4")[c.offset : c.offset + len(c) + 1]
-    x = np.frombuffer(c.buffers()[2], "i1", count=off[-1] - off[0], offset=int(off[0])).reshape(len(c), -1).astype("f4")
+    x = small.astype("f4")
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -189,6 +183,18 @@ def _hashed(ids: np.ndarray, turn: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _spot(cell: dict, deal: int) -> int:
+    """A hash of a cell and a deal of it."""
+    first = _hashed(np.array([(cell["m"] * PARTS + cell["part"]) << 32 | deal])).view("i8")
+    return int(_hashed(first ^ cell["cell"])[0])
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """As np.unique, which is slower by hashing."""
+    v = np.sort(values)
+    return v[np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])]
+
+
 def _marks(ids: np.ndarray, turn: int) -> np.ndarray:
     """16 bits that stand for each id this turn."""
     return (_hashed(ids, turn) >> np.uint64(48)).astype("u2")
@@ -209,16 +215,18 @@ def _better(x: np.ndarray, worst: np.ndarray, k: int, marks: np.ndarray | None =
     """(lengths, columns, cosines) of the at most k nearest others of each vector that beat its ``worst`` and, by their ``marks``, aren't in its row of ``known``."""
     n, most = len(x), k + (0 if known is None else known.shape[1])
     lens, cols, sims = np.zeros(n, "i8"), [], []
-    wide = n // 8
-    for i in range(0, n, 1024):
-        s = x[i : i + 1024] @ x.T
+    wide, y = n // 8, x.copy().T  # of an array and itself numpy makes a slower product
+    for i in range(0, n, STEP):
+        s = x[i : i + STEP] @ y
         r = np.arange(len(s))
         s[r, r + i] = -2
-        least = worst[i : i + 1024]
+        least = worst[i : i + STEP]
         ok = s > least[:, None]
         if wide > most and np.count_nonzero(ok) > most * len(s):
             # ``most`` of the maxima of every eighth column reach this, so at least as many cosines do
-            tops = s[:, : 8 * wide].reshape(len(s), 8, wide).max(axis=1)
+            tops = s[:, :wide].copy()
+            for j in range(1, 8):
+                np.maximum(tops, s[:, j * wide : (j + 1) * wide], out=tops)
             tops.partition(wide - most, axis=1)
             ok = s > np.maximum(least, np.nextafter(tops[:, wide - most], np.float32(-3)))[:, None]
         at, c = np.divmod(np.flatnonzero(ok), n)
@@ -232,7 +240,7 @@ def _better(x: np.ndarray, worst: np.ndarray, k: int, marks: np.ndarray | None =
             o = o[_nearest(each, k)]
             at, c, found = at[o], c[o], found[o]
             each = np.minimum(each, k)
-        lens[i : i + 1024] = each
+        lens[i : i + STEP] = each
         cols.append(c), sims.append(found)
     return lens, np.concatenate(cols), np.concatenate(sims)
 
@@ -245,12 +253,20 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
 def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(partition, places of its keys)."""
     part = _parts(keys, parts)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype("u2") if parts <= 1 << 16 else part, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         if len(at):
             yield int(part[at[0]]), at
 
 
+def _dealt_lists(keys: np.ndarray, lens: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(partition, places of its keys, places of the entries of their lists)."""
+    first = np.cumsum(lens) - lens
+    for to, at in _dealt(keys, parts):
+        n = lens[at]
+        yield to, at, np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _packed(values: np.ndarray) -> bytes:
     """An array compressed by the places of its bytes: the high ones of keys and cosines are much alike."""
     raw = np.ascontiguousarray(values).reshape(-1)
@@ -305,24 +321,38 @@ def _first_lists(reps: DataFrame, k: int, parts: int) -> tuple[DataFrame, DataFr
                 own = b.filter(pa.array(m == model))
                 x, (p, planes, groups) = _matrix(own.column("vec")), pivots[int(model)]
                 near = np.concatenate([_top(x[i : i + 2048] @ p.T, PARTS) for i in range(0, len(x), 2048)]).astype("i8")
-                small = _binary(_small(x).view("u1"))
+                keys, small, rows = own.column("key").to_numpy(), _small(x), []
                 wide = max(0, planes.shape[1] - 2)  # of a pivot with many cells each four make a group
                 for part in range(PARTS):
                     c = near[:, min(part, near.shape[1] - 1)]
                     side = ((x - p[c]) @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype="i8"))
-                    group = ((groups[c] << wide) + (side >> (planes.shape[1] - wide))) * PARTS + part
-                    yield pa.RecordBatch.from_arrays([own.column("m"), pa.array(np.full(len(x), part, "i4")), pa.array(group), pa.array((c << planes.shape[1]) + side), own.column("key"), small], ["m", "part", "grp", "cell", "key", "small"])
+                    group, cell = ((groups[c] << wide) + (side >> (planes.shape[1] - wide))) * PARTS + part, (c << planes.shape[1]) + side
+                    order = np.argsort(cell, kind="stable")
+                    for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                        rows.append(_row(part=part, m=int(model), grp=int(group[at[0]]), cell=int(cell[at[0]]), deal=0, n=len(at), keys=keys[at], small=small[at]))
+                yield from _table(rows, _CELLS).to_batches()
 
-    placed = staged(reps.mapInArrow(cells, "m int, part int, grp bigint, cell bigint, key bigint, small binary"), "cells")
-    crowds = placed.groupBy("m", "part", "cell").count().where(F.col("count") > CROWD).select("m", "part", "cell", F.ceil(F.col("count") / CROWD).alias("deals"))
-    dealt = placed.join(crowds, ["m", "part", "cell"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "part"), F.col("deals")), F.lit(0)))
-    number = F.xxhash64("m", "part", "cell", "deal")
-    group = F.pmod(F.when(F.col("deals").isNull(), F.col("grp")).otherwise(number), F.lit(1 << 23))
-    dealt = dealt.withColumn("base", F.shiftleft(group, 40).bitwiseOR(F.shiftleft(F.pmod(number, F.lit(1 << 24)), 16))).drop("deals", "grp")
+    placed = staged(reps.mapInArrow(cells, _ddl(_CELLS)), "cells")
+    crowds = {(r.m, r.part, r.cell): -(-r.n // CROWD) for r in placed.groupBy("m", "part", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).collect()}
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if deals := crowds.get((r["m"], r["part"], r["cell"])):
+                    keys, small = _number(r["keys"], "i8"), _number(r["small"], "i1").reshape(r["n"], -1)
+                    deal = (_hashed(keys, r["part"]) >> np.uint64(33)).astype("i8") % deals
+                    rows += [_row(**r | {"grp": _spot(r, int(d)) % _GROUPS, "deal": int(d), "n": int((deal == d).sum()), "keys": keys[deal == d], "small": small[deal == d]}) for d in np.unique(deal)]
+                else:
+                    rows.append(r)
+            yield from _table(rows, _CELLS).to_batches()
 
     def inside(t: pa.Table) -> pa.Table:
-        m, part, keys, x = t.column("m")[0].as_py(), t.column("part")[0].as_py(), t.column("key").to_numpy(), _directions(t.column("small"))
-        base = t.column("base")[0].as_py()
+        rows = t.to_pylist()
+        r, keys = rows[0], np.concatenate([_number(r["keys"], "i8") for r in rows])
+        m, part, bytes8 = r["m"], r["part"], np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1)
+        x = _directions(bytes8)
+        base = (r["grp"] % _GROUPS << 40) | (_spot(r, r["deal"]) % (1 << 24) << 16)
         block = _bisected(x, np.random.default_rng(part), BLOCK)
         order = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[order], np.arange(block.max() + 2))
@@ -334,16 +364,14 @@ def _first_lists(reps: DataFrame, k: int, parts: int) -> tuple[DataFrame, DataFr
         keys, lens, ids, sims = keys[order], np.concatenate(lens), np.concatenate(ids), np.concatenate(sims)
         homes = np.full((len(keys), PARTS), _NOWHERE)
         homes[:, part] = base | block[order]
-        small = np.stack([np.frombuffer(v, "i1") for v in t.column("small").take(pa.array(order)).to_pylist()]) if part == 0 else None
-        who = np.repeat(np.arange(len(keys)), lens)
+        small = bytes8[order] if part == 0 else None
         rows = []
-        for to, at in _dealt(keys, parts):
-            mine = np.isin(who, at) if len(at) < len(keys) else np.ones(len(who), bool)
-            at = np.sort(at)
+        for to, at, mine in _dealt_lists(keys, lens, parts):
             rows.append(_row(part=to, m=m, keys=keys[at], homes=homes[at], small=None if small is None else small[at], lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
         return _table(rows, _LISTS)
 
-    return dealt.groupBy("m", "part", "cell", "deal").applyInArrow(inside, _ddl(_LISTS)), placed
+    whole = placed.mapInArrow(dealt, _ddl(_CELLS)) if crowds else placed
+    return whole.groupBy("m", "part", "cell", "deal").applyInArrow(inside, _ddl(_LISTS)), placed
 
 
 def _merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
@@ -425,7 +453,7 @@ def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduce
             keys, homes = keys[o], homes[o]
             nbr, member, block = (joined(c, edges) for c in ("host", "member", "block"))
             host = np.searchsorted(keys, nbr)
-            o = np.lexsort((_hashed(member ^ nbr * 31), host))
+            o = np.argsort((host.astype("u8") << np.uint64(40)) | (_hashed(member ^ nbr * 31) >> np.uint64(24)))
             o = o[_nearest(np.bincount(host, minlength=len(keys)), NAMED)]
             to, at = np.concatenate([keys, nbr, member[o]]), np.concatenate([homes, block, homes[host[o]]])
             yield from _table([_row(part=p, m=m, member=to[a], block=at[a]) for p, a in _dealt(to, parts)], _WANTS).to_batches()
@@ -451,8 +479,8 @@ def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduce
             worst, lens, known = np.concatenate([_number(r["worst"], "f4") for r in own]), np.concatenate([_number(r["lens"], "u2") for r in own]), np.concatenate([_number(r["known"], "u2") for r in own]).reshape(-1, held)
             order = np.argsort(keys)
             member, block = (np.concatenate([_number(r[c], "i8") for r in rows if r["block"]]) for c in ("member", "block"))
-            blocks, block = np.unique(block, return_inverse=True)
-            pairs = np.unique((block.astype("i8") << 32) | np.searchsorted(keys[order], member))
+            blocks = _distinct(block)
+            pairs = _distinct((np.searchsorted(blocks, block) << 32) | np.searchsorted(keys[order], member))
             block, at = pairs >> 32, pairs & 0xFFFFFFFF
             group = blocks[block] >> 40
             for i, j in zip(ends := np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]), ends[1:], strict=False):
@@ -465,8 +493,7 @@ def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduce
         m, keys = rows[0]["m"], [_number(r["keys"], "i8") for r in rows]
         first = np.cumsum([0, *[len(x) for x in keys]])
         keys = np.concatenate(keys)
-        x = np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1).astype("f4")
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = _directions(np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1))
         worst, lens = np.concatenate([_number(r["worst"], "f4") for r in rows]), np.concatenate([_lens(r) for r in rows])
         marks = _marks(keys, turn)
         known = np.where(np.arange(held) < lens[:, None], np.concatenate([_number(r["known"], "u2") for r in rows]).reshape(-1, held), marks[:, None])
@@ -479,14 +506,11 @@ def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduce
             met.append((np.repeat(own, n).astype("i8") << 32) | own[c]), sims.append(s)
         met, at = np.unique(np.concatenate(met), return_index=True)
         sims, who, ids = np.concatenate(sims)[at], met >> 32, keys[met & 0xFFFFFFFF]
-        some, who = np.unique(who, return_inverse=True)
-        lens, rows = np.bincount(who, minlength=len(some)), []
-        part = np.full(len(some), -1)
-        for to, at in _dealt(keys[some], parts):
-            part[at] = to
-        for to in np.unique(part):
-            at, mine = part == to, part[who] == to
-            rows.append(_row(part=int(to), m=m, keys=keys[some[at]], homes=None, small=None, lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
+        lens = np.bincount(who, minlength=len(keys))
+        some = np.flatnonzero(lens)
+        rows = []
+        for to, at, mine in _dealt_lists(keys[some], lens[some], parts):
+            rows.append(_row(part=to, m=m, keys=keys[some[at]], homes=None, small=None, lens=lens[some[at]].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
         return _table(rows, _LISTS)
 
     wanted = graph.select("part", "m", "keys", "homes", "lens", "ids").mapInArrow(asks, _ddl(_ASKS)).repartitionById(parts, "part").mapInArrow(wants, _ddl(_WANTS))
@@ -591,6 +615,7 @@ def similar_pairs(vectors: DataFrame, contracts: DataFrame, least: float = 0.9,
     not valid (see unit_vectors) take no part; repeated rows count once; an empty table gives an empty one.
     """
     graph, reps, base = build_graph(vectors, contracts, k)
+    graph = graph.where(F.get("sims", F.lit(0)) >= least - COARSE)  # the nearest is first
     close = rescored(edges_of(graph, max(k, HELD)).where(F.col("cos") >= least - COARSE), reps).where(F.col("cos") >= least - DOUBT)
     found = expand(close, reps, base, k).select(F.least("key", "nbr").alias("key_a"), F.greatest("key", "nbr").alias("key_b"), "cos").groupBy("key_a", "key_b").agg(F.max("cos").alias("cos"))
     found = staged(found, "pairs")
