@@ -166,3 +166,21 @@ def test_nothing_known_is_sent(spark, data, monkeypatch):
     graph, _, _ = neighbours.build_graph(spark.read.parquet(f"{sf}/vectors.parquet"), spark.read.parquet(f"{sf}/embed_model_contracts.parquet"))
     entries = graph.select(F.sum(F.size("nbrs"))).first()[0]
     assert len(sent) > 1 and 0 < sent[-1] < 0.25 * entries and sent[-1] < 0.25 * sent[0]
+
+
+def test_packets(spark, data, monkeypatch):
+    """What a round sends is packed by the size of the table, not by the partitions that Spark shuffles into."""
+    from tidemark.session import set_for
+
+    sent, stage = [], neighbours.staged
+
+    def counted(df, name="stage"):
+        out = stage(df, name)
+        if name == "fresh":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "staged", counted)
+    with set_for(spark, "spark.sql.shuffle.partitions", "60"):
+        neighbours.build_graph(spark.read.parquet(f"{data}/vectors.parquet"), spark.read.parquet(f"{data}/embed_model_contracts.parquet"), rounds=1)
+    assert 0 < sent[0] <= 2 * spark.sparkContext.defaultParallelism * 3  # a group a model

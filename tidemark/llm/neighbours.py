@@ -30,8 +30,10 @@ INTRODUCED, NAMED, SENT = 10, 5, 8
 ROUNDS, SETTLED = 8, 0.03
 #: What cosines of 8-bit integers, and those of 16-bit floats, may be wrong by.
 COARSE, DOUBT = 1e-2, 1e-3
-#: Vectors of a group of cells about, which a task works through at once; vectors of a packed row at most, and those compared to a block at a time.
-GROUP, PACK, STEP = 8000, 4096, 256
+#: Vectors of a group of cells about, which a task works through at once: a thousandth of all within these bounds, as packets are parts times groups.
+GROUP, WIDEST = 8000, 64_000
+#: Lists kept in a part at most, about; vectors of a packed row at most, and those compared to a block at a time.
+PART, PACK, STEP = 200_000, 4096, 256
 #: The block of a vector in a partition of which nothing is known yet; numbers of groups, which lead the 40 bits of cell and block.
 _NOWHERE, _GROUPS = -(1 << 63), 1 << 23
 
@@ -133,7 +135,7 @@ def _pivots(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarr
             p[seen] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
             share = np.bincount(near, minlength=c)
         halvings = max(0, int(np.ceil(np.log2(n / (2 * c * CELL)))))
-        groups = made + _bisected(p, np.random.default_rng(model), GROUP, share * (n / share.sum()))
+        groups = made + _bisected(p, np.random.default_rng(model), min(WIDEST, max(GROUP, sum(counts.values()) // 1000)), share * (n / share.sum()))
         out[model] = p, np.random.default_rng(model).standard_normal((p.shape[1], halvings)).astype("f4"), groups
         made = int(groups.max()) + 1
     return out
@@ -347,11 +349,10 @@ def _first_lists(reps: DataFrame, k: int, parts: int) -> tuple[DataFrame, DataFr
                     rows.append(r)
             yield from _table(rows, _CELLS).to_batches()
 
-    def inside(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
+    def started(rows: list[dict]) -> tuple[np.ndarray, ...]:
         r, keys = rows[0], np.concatenate([_number(r["keys"], "i8") for r in rows])
-        m, part, bytes8 = r["m"], r["part"], np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1)
-        x = _directions(bytes8)
+        part, small = r["part"], np.concatenate([_number(r["small"], "i1") for r in rows]).reshape(len(keys), -1)
+        x = _directions(small)
         base = (r["grp"] % _GROUPS << 40) | (_spot(r, r["deal"]) % (1 << 24) << 16)
         block = _bisected(x, np.random.default_rng(part), BLOCK)
         order = np.argsort(block, kind="stable")
@@ -361,17 +362,24 @@ def _first_lists(reps: DataFrame, k: int, parts: int) -> tuple[DataFrame, DataFr
             own = order[i:j]
             n, c, s = _better(x[own], np.full(len(own), -2, "f4"), k)
             lens.append(n), ids.append(keys[own[c]]), sims.append(s)
-        keys, lens, ids, sims = keys[order], np.concatenate(lens), np.concatenate(ids), np.concatenate(sims)
         homes = np.full((len(keys), PARTS), _NOWHERE)
         homes[:, part] = base | block[order]
-        small = bytes8[order] if part == 0 else None
+        return keys[order], homes, small[order], np.concatenate(lens), np.concatenate(ids), np.concatenate(sims)
+
+    def inside(t: pa.Table) -> pa.Table:
+        cells: dict[tuple[int, int], list[dict]] = {}
+        for r in t.to_pylist():
+            cells.setdefault((r["cell"], r["deal"]), []).append(r)
+        made = [started(rows) for _, rows in sorted(cells.items())]  # of each cell its keys, homes, 8-bit vectors, lengths, ids, cosines
+        keys, homes, small, lens, ids, sims = (np.concatenate(x) for x in zip(*made, strict=True))
+        m, part = t.column("m")[0].as_py(), t.column("part")[0].as_py()
         rows = []
         for to, at, mine in _dealt_lists(keys, lens, parts):
-            rows.append(_row(part=to, m=m, keys=keys[at], homes=homes[at], small=None if small is None else small[at], lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
+            rows.append(_row(part=to, m=m, keys=keys[at], homes=homes[at], small=small[at] if part == 0 else None, lens=lens[at].astype("u2"), ids=ids[mine], sims=sims[mine], entries=0, gained=0))
         return _table(rows, _LISTS)
 
     whole = placed.mapInArrow(dealt, _ddl(_CELLS)) if crowds else placed
-    return whole.groupBy("m", "part", "cell", "deal").applyInArrow(inside, _ddl(_LISTS)), placed
+    return whole.groupBy("m", "part", "grp").applyInArrow(inside, _ddl(_LISTS)), placed
 
 
 def _merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
@@ -483,10 +491,14 @@ def _introductions(graph: DataFrame, turn: int, parts: int, held: int, introduce
             pairs = _distinct((np.searchsorted(blocks, block) << 32) | np.searchsorted(keys[order], member))
             block, at = pairs >> 32, pairs & 0xFFFFFFFF
             group = blocks[block] >> 40
+            out = []
             for i, j in zip(ends := np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]), ends[1:], strict=False):
                 mine, slot = np.unique(at[i:j], return_inverse=True)
                 mine = order[mine]
-                yield from _table([_row(m=m, grp=int(group[i]), keys=keys[mine], small=small[mine], worst=worst[mine], lens=lens[mine], known=known[mine], slot=slot.astype("i4"), block=blocks[block[i:j]])], _PARCELS).to_batches()
+                out.append(_row(m=m, grp=int(group[i]), keys=keys[mine], small=small[mine], worst=worst[mine], lens=lens[mine], known=known[mine], slot=slot.astype("i4"), block=blocks[block[i:j]]))
+                if len(out) == 64 or j == len(group):
+                    yield from _table(out, _PARCELS).to_batches()
+                    out = []
 
     def inside(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -530,9 +542,10 @@ def build_graph(vectors: DataFrame, contracts: DataFrame, k: int = K, rounds: in
     folder, of which each is deleted once the next stands. ``rounds=0`` leaves the lists of the blocks they start with. Cosines are
     those of 8-bit integers, see COARSE.
     """
-    held, parts = max(k, HELD), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = max(k, HELD)
     base = unit_vectors(vectors, contracts)
     reps = staged(classes(base), "classes")
+    parts = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-reps.count() // PART))
     first, placed = _first_lists(reps, held, parts)
     old = staged(_merged(first, held, parts), "graph")
     _drop(placed)
