@@ -126,6 +126,39 @@ def test_descent(spark, data, rounds, least, most):
     assert asked > 300 and least <= share <= most
 
 
+def test_first_round(spark, data):
+    """A round brings much: blocks are wide enough that the first one already finds most neighbours."""
+    sf = data.replace("0.001", "0.1")
+    graph, reps, _ = neighbours.build_graph(spark.read.parquet(f"{sf}/vectors.parquet"), spark.read.parquet(f"{sf}/embed_model_contracts.parquet"), rounds=1)
+    share, asked = recall(reps, {r.key: r.nbrs[:10] for r in graph.where("shiftright(key, 16) % 100 = 0").collect()})
+    assert asked > 300 and share >= 0.83
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 300])
+def test_true(n):
+    """The places of true values, also in a last row that isn't eight long."""
+    rng = np.random.default_rng(n)
+    for share in (0, 0.02, 0.5, 1):
+        ok = rng.random((3, n)) < share
+        assert (neighbours._true(ok) == np.flatnonzero(ok)).all()
+
+
+def test_better(monkeypatch):
+    """The nearest others of each vector against all cosines, with lists of any length and what is known left out."""
+    monkeypatch.setattr(neighbours, "STEP", 64)
+    rng = np.random.default_rng(2)
+    for n, worst in ((1, -2), (90, -2), (700, -2), (700, 0.3), (700, 0.6)):
+        x = neighbours._directions(rng.integers(-127, 128, (n, 16)).astype("i1"))
+        s = x.astype("f8") @ x.T.astype("f8")
+        np.fill_diagonal(s, -2)
+        known = np.argsort(-s, axis=1)[:, :16:2]  # every other one of the nearest
+        lens, cols, sims = neighbours._better(x, np.full(n, worst, "f4"), 8, np.arange(n).astype("u2"), known.astype("u2"))
+        np.put_along_axis(s, known, -2, axis=1)
+        for own, found, row in zip(np.split(cols, np.cumsum(lens)[:-1]), np.split(sims, np.cumsum(lens)[:-1]), s, strict=True):
+            want = np.sort(row[row > worst])[::-1][:8]
+            assert len(own) == len(want) == len(set(own.tolist())) and np.allclose(row[own], found, atol=1e-5) and np.allclose(np.sort(found)[::-1], want, atol=1e-5)
+
+
 def test_near_copies(spark, contracts):
     """A third of the rows differ in a bit only; no block or task gets them all, and their pairs come out."""
     rng = np.random.default_rng(5)

@@ -23,7 +23,7 @@ K, HELD = 10, 16
 #: Vectors a pivot's cell has on average, pivots of a model at most, vectors of all models that pivots are fitted on at most.
 CELL, PIVOTS, SAMPLE = 2000, 8192, 40_000
 #: Hosts of a block at most, partitions of the table into blocks, vectors a cell may have before it is dealt out by a hash.
-BLOCK, PARTS, CROWD = 128, 3, 16_000
+BLOCK, PARTS, CROWD = 256, 3, 16_000
 #: Neighbours a host brings to its block, and those at most it is a neighbour of; of what a vector meets in a block, how many go on.
 INTRODUCED, NAMED, SENT = 10, 5, 8
 #: Rounds of descent at most; it ends once a round renews a smaller share of the list entries.
@@ -31,7 +31,7 @@ ROUNDS, SETTLED = 8, 0.03
 #: What cosines of 8-bit integers, and those of 16-bit floats, may be wrong by.
 COARSE, DOUBT = 1e-2, 1e-3
 #: Vectors of a group of cells about, which a task works through at once: a thousandth of all within these bounds, as packets are parts times groups.
-GROUP, WIDEST = 8000, 64_000
+GROUP, WIDEST = 16_000, 64_000
 #: Lists kept in a part at most, about; vectors of a packed row at most, and those compared to a block at a time.
 PART, PACK, STEP = 200_000, 4096, 256
 #: The block of a vector in a partition of which nothing is known yet; numbers of groups, which lead the 40 bits of cell and block.
@@ -213,16 +213,23 @@ def _falling(sims: np.ndarray) -> np.ndarray:
     return np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF))
 
 
+def _true(ok: np.ndarray) -> np.ndarray:
+    """Places of the true values of a flattened array, few of which are true: eight are looked at at once."""
+    flat = ok.reshape(-1)
+    whole = len(flat) & ~7
+    eights = np.flatnonzero(flat[:whole].view("u8"))
+    at = np.flatnonzero(flat[:whole].reshape(-1, 8)[eights])
+    return np.concatenate([eights[at >> 3] << 3 | at & 7, whole + np.flatnonzero(flat[whole:])])
+
+
 def _better(x: np.ndarray, worst: np.ndarray, k: int, marks: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lengths, columns, cosines) of the at most k nearest others of each vector that beat its ``worst`` and, by their ``marks``, aren't in its row of ``known``."""
     n, most = len(x), k + (0 if known is None else known.shape[1])
     lens, cols, sims = np.zeros(n, "i8"), [], []
-    wide, y = n // 8, x.copy().T  # of an array and itself numpy makes a slower product
+    wide, every = n // 8, x @ x.T  # of an array and itself numpy reckons one half and mirrors it
+    every.reshape(-1)[:: n + 1] = -2
     for i in range(0, n, STEP):
-        s = x[i : i + STEP] @ y
-        r = np.arange(len(s))
-        s[r, r + i] = -2
-        least = worst[i : i + STEP]
+        s, least = every[i : i + STEP], worst[i : i + STEP]
         ok = s > least[:, None]
         if wide > most and np.count_nonzero(ok) > most * len(s):
             # ``most`` of the maxima of every eighth column reach this, so at least as many cosines do
@@ -231,7 +238,7 @@ def _better(x: np.ndarray, worst: np.ndarray, k: int, marks: np.ndarray | None =
                 np.maximum(tops, s[:, j * wide : (j + 1) * wide], out=tops)
             tops.partition(wide - most, axis=1)
             ok = s > np.maximum(least, np.nextafter(tops[:, wide - most], np.float32(-3)))[:, None]
-        at, c = np.divmod(np.flatnonzero(ok), n)
+        at, c = np.divmod(_true(ok), n)
         if known is not None:
             fresh = (known[i + at] != marks[c, None]).all(axis=1)
             at, c = at[fresh], c[fresh]
